@@ -223,7 +223,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     table = stored(set_table(docs, size), "sets")
     largest = table.agg(F.max("n_shingles")).first()[0] or 0
     nodes = table.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"))
-    named = stored(table.join(nodes, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")), "nodes")
+    named = stored(table.join(nodes, "set_hash", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "nodes")
 
     which = bands(int(largest), num, den)
     shared = shared_signatures(docs, which, parts(total, RANGE_BYTES), size)
@@ -259,4 +259,4 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     links = verified_links(cells.join(sets, "node"), num, den)
     found = components(links)
     out = named.join(found, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"))
