@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusguard.llm.bpe import bpe_decode, bpe_encode
+from corpusguard.llm.hmm import hmm_scores
 from corpusguard.llm.jaccard_join import jaccard_join
+from corpusguard.llm.langid import language_id, remainder
+from corpusguard.llm.quality import learn_quality, quality_rules
 from corpusguard.llm.substring_dedup import substring_dedup
 
 
@@ -19,6 +23,35 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id(documents(spark, sf_dir))
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(documents(spark, sf_dir))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules(docs, learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def byte_bpe() -> str:
+    """The JSON of the public tokenizer that the queries use."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = byte_bpe()
+    out = bpe_decode(bpe_encode(documents(spark, sf_dir), tokenizer), tokenizer)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -26,6 +59,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_language_id": op2_language_id,
+    "op5_hmm": op5_hmm,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_bpe": op8_bpe,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
