@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusguard.llm import decontaminate, url_filter
 from corpusguard.llm.bpe import bpe_decode, bpe_encode
 from corpusguard.llm.hmm import hmm_scores
 from corpusguard.llm.jaccard_join import jaccard_join
@@ -29,6 +30,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scores(documents(spark, sf_dir))
 
@@ -38,6 +43,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
+
+
 def byte_bpe() -> str:
     """The JSON of the public tokenizer that the queries use."""
     import public_tokenizers
@@ -60,9 +69,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
+    "op3_decontaminate": op3_decontaminate,
     "op5_hmm": op5_hmm,
     "op6_quality_rules": op6_quality_rules,
+    "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op7_url_filter": url_filter.ORACLE}
