@@ -13,7 +13,9 @@ from corpusguard.llm.hmm import hmm_scores
 from corpusguard.llm.jaccard_join import jaccard_join
 from corpusguard.llm.langid import language_id, remainder
 from corpusguard.llm.quality import learn_quality, quality_rules
+from corpusguard.llm.store import new_path
 from corpusguard.llm.substring_dedup import substring_dedup
+from corpusguard.llm.warc import round_trip
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc")).drop("url")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
+    "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op7_url_filter": url_filter.ORACLE}
