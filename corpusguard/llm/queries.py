@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusguard.llm import decontaminate, url_filter
 from corpusguard.llm.bpe import bpe_decode, bpe_encode
 from corpusguard.llm.hmm import hmm_scores
+from corpusguard.llm.html_extract import extract_text
 from corpusguard.llm.jaccard_join import jaccard_join
 from corpusguard.llm.langid import language_id, remainder
 from corpusguard.llm.quality import learn_quality, quality_rules
@@ -36,6 +37,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scores(documents(spark, sf_dir))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
+    "op4_html_extract": op4_html_extract,
     "op5_hmm": op5_hmm,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
