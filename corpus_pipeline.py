@@ -1,15 +1,75 @@
-"""A corpus pipeline of five of the operators; filled in as they are built."""
+"""A corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, tokens.
+
+Each stage takes ``(spark, docs, sf_dir)`` with the columns of ``documents`` and
+works on every row that the one before it left. All but the last return the
+columns of ``documents``. Between stages the rows are written as Parquet.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusguard.llm.bpe import bpe_decode, bpe_encode
+from corpusguard.llm.decontaminate import clean_documents
+from corpusguard.llm.jaccard_join import jaccard_join
+from corpusguard.llm.quality import learn_quality, quality_rules
+from corpusguard.llm.queries import byte_bpe
+from corpusguard.llm.store import BROADCAST_KEYS, stored
+from corpusguard.llm.substring_dedup import substring_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules or the classifier reject go. The classifier
+    learns from the labelled rows among ``docs``."""
+    model = learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return quality_rules(docs, model, carry=rest).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    gone = stored(jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that a smaller document has go. A text that loses words is
+    its other words joined by a space; all others stay as they are. A document
+    that loses every word stays, with an empty text."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    out = substring_dedup(docs, carry=rest)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text (little-endian 32-bit), and digests of the ids and of
+    the text that they decode to."""
+    tokenizer = byte_bpe()
+    out = bpe_decode(bpe_encode(docs, tokenizer, carry=["lang", "source"]), tokenizer)
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("bpe_encoding", tokens),
+]
 
-STAGES: list = []
+#: The first stage's classifier has no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
