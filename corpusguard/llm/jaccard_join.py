@@ -2,12 +2,13 @@
 
 1. One pass gives each document its set size and set hash. Documents with equal
    sets are one node, named by their smallest doc_id; only nodes are compared.
-2. One pass makes PartEnum signatures (``partenum``). Signatures travel packed by
-   hash range; a range keeps those that two or more sets share. Within a chunk of
-   texts the copies of a signature meet locally and one entry goes on, so a
-   signature that a third of all documents have is one entry per chunk.
-3. All sets that share a signature form the group of the smallest node among
-   them. A group is verified in cells of at most ``CELL`` x ``CELL`` sets by exact
+2. One pass makes PartEnum signatures (``partenum``) of the nodes. Signatures travel
+   packed by hash range. Within a chunk of texts the copies of a signature meet
+   locally and one entry goes on, so a signature that a third of all documents
+   have is one entry per chunk; the chunk's other sets go past the ranges and get
+   the signature's leader by a join.
+3. All sets that share a signature form the group of their leader, the smallest
+   node among them. A group is verified in cells of at most ``CELL`` x ``CELL`` sets by exact
    intersection; a cell emits a spanning forest of its links, never its pairs.
 4. Components of the links by alternating stars.
 
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 from corpusguard.llm.components import components
 from corpusguard.llm.packed import first_of_runs, pack, ranges, unpack
 from corpusguard.llm.partenum import Band, bands, set_hashes, shingle_sets, signatures
-from corpusguard.llm.store import keep_keys, parts, stored, text_bytes
+from corpusguard.llm.store import BROADCAST_KEYS, keep_keys, parts, stored, text_bytes
 from corpusguard.llm.words import slices
 
 #: Signatures that a task gathers before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Bytes of text for each hash range.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 #: Sets on a side of a verification cell.
 CELL = 1000
 #: Shared elements of a cell that are matched at once.
@@ -83,8 +84,11 @@ def _flush(sig: np.ndarray, doc: np.ndarray, n: int) -> Iterator[pa.RecordBatch]
 
 
 def shared_signatures(docs: DataFrame, which: list[Band], n_ranges: int, size: int = 5) -> DataFrame:
-    """``(sig, doc_id)`` for the signatures that different sets may share. Of equal
-    sets in a chunk only the smallest doc_id signs."""
+    """``(lead, node, sig)`` for the signatures that different sets share: rows with
+    lead and node are members of groups; a row without a node names the leader of
+    a signature that some chunk has several times, and a row without a lead is a
+    member by such a signature. Of equal sets in a chunk only the smallest doc_id
+    signs."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, owners, held = [], [], 0
@@ -111,22 +115,27 @@ def shared_signatures(docs: DataFrame, which: list[Band], n_ranges: int, size: i
     def match(key: tuple, table: pa.Table) -> pa.Table:
         sig = np.concatenate([unpack(x.as_py()) for x in table.column("sigs")])
         doc = np.concatenate([unpack(x.as_py(), np.int64) for x in table.column("docs")])
-        if key[0].as_py() < n_ranges:
-            counts = [len(x.as_py()) // 8 for x in table.column("sigs")]
-            many = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=c) for x, c in zip(table.column("many"), counts, strict=True)])
-            order = np.lexsort((doc, sig))
-            sig, doc, many = sig[order], doc[order], many[order]
-            first = first_of_runs(sig)
-            if len(first):
-                ends = np.concatenate([first[1:], [len(sig)]]) - 1
-                shared = (doc[first] != doc[ends]) | (np.maximum.reduceat(many, first) > 0)
-                keep = np.repeat(shared, ends - first + 1)
-                sig, doc = sig[keep], doc[keep]
-        return pa.table({"sig": pa.array(sig.view(np.int64)), "doc_id": pa.array(doc, pa.int64())})
+        if key[0].as_py() >= n_ranges:
+            return rows(None, doc, sig)
+        counts = [len(x.as_py()) // 8 for x in table.column("sigs")]
+        many = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=c) for x, c in zip(table.column("many"), counts, strict=True)])
+        order = np.lexsort((doc, sig))
+        sig, doc, many = sig[order], doc[order], many[order]
+        first = first_of_runs(sig)
+        lead = np.repeat(doc[first], np.diff(np.concatenate([first, [len(sig)]])))
+        other = doc != lead
+        pairs = np.unique(np.stack([lead[other], doc[other]], axis=1), axis=0)
+        flagged = first[np.maximum.reduceat(many, first) > 0]
+        return pa.concat_tables([rows(pairs[:, 0], pairs[:, 1], None), rows(doc[flagged], None, sig[flagged])])
+
+    def rows(lead: np.ndarray | None, node: np.ndarray | None, sig: np.ndarray | None) -> pa.Table:
+        n = max(len(x) for x in (lead, node, sig) if x is not None)
+        columns = {"lead": lead, "node": node, "sig": sig.view(np.int64) if sig is not None else None}
+        return pa.table({k: pa.nulls(n, pa.int64()) if v is None else pa.array(v, pa.int64()) for k, v in columns.items()})
 
     signed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     signed = signed.mapInArrow(sign, "range int, sigs binary, docs binary, many binary")
-    return signed.groupBy("range").applyInArrow(match, "sig long, doc_id long")
+    return signed.groupBy("range").applyInArrow(match, "lead long, node long, sig long")
 
 
 def _links(node: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -226,13 +235,21 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     named = stored(table.join(nodes, "set_hash", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "nodes")
 
     which = bands(int(largest), num, den)
-    shared = shared_signatures(docs, which, parts(total, RANGE_BYTES), size)
-    own = named.where("node is not null").select("doc_id", "node").distinct()
-    buckets = stored(shared.join(own, "doc_id").select("sig", "node").distinct(), "buckets")
-    leads = buckets.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("sig", "lead")
-    groups = buckets.join(leads, "sig").select("lead", "node").distinct()
-    groups = stored(groups, "groups")
-    blocks = groups.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("blocks"))
+    copies = stored(named.where("node is not null and doc_id <> node").select("doc_id").distinct(), "copies")
+    n_copies = copies.count()
+    signers = docs.join(F.broadcast(copies) if n_copies <= BROADCAST_KEYS else copies, "doc_id", "left_anti")
+    shared = stored(shared_signatures(signers, which, parts(total, RANGE_BYTES), size), "shared")
+    leads = shared.where("node is null").select("sig", "lead")
+    past = shared.where("lead is null").select("sig", "node").join(leads, "sig").where("lead <> node").select("lead", "node")
+    pairs = shared.where("lead is not null and node is not null").select("lead", "node").union(past).distinct()
+    # A group of two is one pair: it goes if their sizes alone rule it out.
+    sizes = named.where("doc_id = node").select("node", F.col("n_shingles").alias("n")).distinct()
+    members = pairs.join(sizes, "node").join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n")), "lead")
+    close = F.lit(den) * F.least("n", "lead_n") >= F.lit(num) * F.greatest("n", "lead_n")
+    counted = members.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.max(close).alias("close"))
+    counted = counted.where("size > 1 or close").select("lead", F.ceil((F.col("size") + 1) / F.lit(CELL)).cast("int").alias("blocks"))
+    blocks = stored(counted, "blocks")
+    groups = stored(pairs.join(blocks.select("lead"), "lead", "left_semi").union(blocks.select("lead", F.col("lead").alias("node"))), "groups")
 
     involved = stored(groups.select(F.col("node").alias("doc_id")).distinct(), "involved")
     first = keep_keys(docs, involved, "doc_id", involved.count())
