@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The approximate ranks are off by at most 1 / ACCURACY of a group's rows.
 ACCURACY, MARGIN = 10_000, 0.0005
+#: Groups of fewer rows are ordered whole: the margin would be a few ranks.
+SMALL = 10_000
 
 
 def lower_index(df: DataFrame, by: list[str], value: str, fraction: float, name: str) -> DataFrame:
@@ -23,9 +25,10 @@ def lower_index(df: DataFrame, by: list[str], value: str, fraction: float, name:
     ends = F.array(F.lit(max(0.0, fraction - MARGIN)), F.lit(min(1.0, fraction + MARGIN)))
     bracket = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_value", ends, ACCURACY).alias("_ends"))
     placed = rows.join(bracket, groups)
-    below = F.col("_value") < F.col("_ends")[0]
+    large = F.col("_n") >= SMALL
+    below = large & (F.col("_value") < F.col("_ends")[0])
     least = placed.groupBy(*groups).agg(F.count_if(below).alias("_below"))
-    inside = placed.where(~below & (F.col("_value") <= F.col("_ends")[1]))
+    inside = placed.where(~large | F.col("_value").between(F.col("_ends")[0], F.col("_ends")[1]))
     counts = inside.groupBy(*groups, "_n", "_value").agg(F.count(F.lit(1)).alias("_times"))
     order = Window.partitionBy(*groups).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     upto = counts.withColumn("_upto", F.sum("_times").over(order)).join(least, groups)
