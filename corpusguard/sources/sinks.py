@@ -23,7 +23,7 @@ def write_json_file(spark: SparkSession, value: dict, path: str) -> None:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     partial = hadoop.Path(f"{path}.partial")
     owner_only = hadoop.permission.FsPermission("600")
-    out = hadoop.FileSystem.create(fs, partial, owner_only)
+    out = fs.create(partial, owner_only, True, 4096, fs.getDefaultReplication(partial), fs.getDefaultBlockSize(partial), None)
     try:
         out.write(bytearray((json.dumps(value, ensure_ascii=False, sort_keys=True) + "\n").encode()))
     finally:

@@ -22,7 +22,7 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     """``(start, end, event_type, n, total)`` by event time; later events than the
     watermark allows are dropped by design of the window."""
     at = F.window("ts", width, slide) if slide else F.window("ts", width)
-    counts = events.withWatermark("ts", late).groupBy(at.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    counts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(at.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
 
