@@ -103,3 +103,21 @@ def prepare(messages: DataFrame, small_test: int = SMALL_TEST) -> tuple[DataFram
     if has[2] and kept.where("split = 'test'").count() < small_test:
         return choose_unique(clustered, True, only), "trec07_in_test"
     return kept, "spamassassin_only" if only else "trec07_in_train"
+
+
+def kept_order(kept: DataFrame) -> DataFrame:
+    """Rows by split (test, validation, train), source and id."""
+    return kept.orderBy(F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col("split")), "source", "id")
+
+
+def manifest(messages: DataFrame, kept: DataFrame, lost: DataFrame, policy: str, seed: int) -> DataFrame:
+    """One row: the policy and the counts by source, by split and by reason of loss.
+    The ids of a split are a table by themselves: their number has no bound."""
+
+    def counts(df: DataFrame, key: str, name: str, n: Column) -> DataFrame:
+        by = df.groupBy(key).agg(n.alias("n"))
+        return by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+
+    one = F.count(F.lit(1))
+    out = counts(messages, "source", "source_counts", one).join(counts(kept, "split", "split_counts", one)).join(counts(lost, "reason", "excluded", F.sum("n")))
+    return out.select(F.lit(seed).alias("seed"), F.lit(policy).alias("split_policy"), "source_counts", "split_counts", "excluded")

@@ -128,3 +128,18 @@ def failed_from_unknown(df: DataFrame) -> DataFrame:
     """Unknown findings that were checked, or have a reason, have failed."""
     hit = (F.col("triage") == "unknown") & (F.col("checked_at").isNotNull() | (F.length(F.coalesce("reason", F.lit(""))) > 0))
     return df.withColumn("triage", F.when(hit, "failed").otherwise(F.col("triage")))
+
+
+def sorted_view(df: DataFrame, by: str, descending: bool = False, unique: str = "source_id") -> DataFrame:
+    """A table as a person sorts it: names without regard to case, descending the
+    exact reverse of ascending, ties included, and nulls last when descending."""
+    kind = dict(df.dtypes)[by]
+    key = F.lower(by) if kind == "string" else F.col(by)
+    return df.orderBy(key.desc_nulls_last(), F.desc(unique)) if descending else df.orderBy(key.asc_nulls_first(), F.asc(unique))
+
+
+def out_of_place(rows: DataFrame, frozen: DataFrame, position: str = "position", key: str = "id") -> DataFrame:
+    """Positions at which rows and a frozen list of ids differ, or that one of them
+    lacks; no rows if they agree."""
+    a, b = rows.select(position, F.col(key).alias("found")), frozen.select(position, F.col(key).alias("expected"))
+    return a.join(b, position, "full").where(~F.col("found").eqNullSafe(F.col("expected")))

@@ -13,7 +13,7 @@ ruleset_version, epoch, retry, started_at, finished_at, reason.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORK = "source_id long, status string, watermark string, ruleset_version string, epoch int, retry int, started_at timestamp, finished_at timestamp, reason string"
@@ -140,6 +140,13 @@ def requeue_failed(work: DataFrame, most_retries: int) -> DataFrame:
     return _changed(work, (F.col("status") == "failed") & (F.col("retry") < most_retries) & (F.col("reason") != GONE), status="pending")
 
 
+def claimable(phases: DataFrame, work: DataFrame, phase: str, epoch: int) -> DataFrame:
+    """Pending phases of one kind whose source has the same epoch, the control's, and
+    is not cancelled; by source."""
+    alive = work.where((F.col("epoch") == epoch) & (F.col("status") != "cancelled")).select("source_id", "epoch")
+    return phases.where((F.col("phase") == phase) & (F.col("status") == "pending")).join(alive, ["source_id", "epoch"]).select("source_id", "phase", "target", "epoch")
+
+
 def seeded(work: DataFrame) -> DataFrame:
     """Done phases of sources that were done before there were phases."""
     known = work.where("status = 'done' and watermark is not null and ruleset_version is not null")

@@ -472,6 +472,34 @@ def ledger_seed_phases(t):
     return ledger.seeded(_work(t)).groupBy("phase", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("source_id").alias("ids"))
 
 
+@_query
+def ledger_claimable(t):
+    work = _work(t)
+    phases = ledger.seeded(work.withColumn("status", F.lit("done")).withColumn("watermark", F.lit("1")).withColumn("ruleset_version", F.lit("v")))
+    pending = phases.withColumn("status", F.when(F.col("source_id") % 2 == 0, "pending").otherwise("done"))
+    return ledger.claimable(pending, work, "head", 1).select("source_id", "target")
+
+
+@_query
+def frozen_list_mismatches(t):
+    rows = t("orders").select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("id"))
+    frozen = rows.where("position % 100 <> 7").withColumn("id", F.when(F.col("position") % 90 == 5, -F.col("id")).otherwise(F.col("id")))
+    return findings.out_of_place(rows.where("position % 100 <> 9"), frozen)
+
+
+@_query
+def split_manifest(t):
+    messages = _messages(t)
+    kept, policy = split.prepare(messages)
+    made = split.manifest(messages, kept, split.exclusions(split.clusters(messages)), policy, 17)
+    return made.select("seed", "split_policy", *[F.to_json(c).alias(c) for c in ("source_counts", "split_counts", "excluded")])
+
+
+@_query
+def sorted_customers(t):
+    return findings.page(findings.sorted_view(t("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", True, "c_custkey"), [F.desc(F.lower("c_mktsegment")), F.desc("c_custkey")], limit=50)
+
+
 @_query
 def incremental_rows(t):
     lines = t("lineitem").select(F.col("l_orderkey").cast("long").alias("source_id"), (F.col("l_partkey") % 1000).alias("seq"))

@@ -263,4 +263,11 @@ SQL["incremental_rows"] = f"""
 WITH m AS (SELECT o_orderkey AS source_id, o_orderkey % 1000 AS mark FROM orders WHERE o_orderkey % 5 = 2 AND CASE WHEN o_orderkey % 10 = 2 THEN {_quoted(ruleset_version())} ELSE 'old' END = {_quoted(ruleset_version())})
 SELECT l_orderkey AS source_id, count(*) AS n FROM lineitem LEFT JOIN m ON m.source_id = l_orderkey WHERE mark IS NULL OR l_partkey % 1000 > mark GROUP BY l_orderkey
 """
+SQL["ledger_claimable"] = f"""WITH {_WORK} SELECT source_id, '1' AS target FROM w WHERE source_id % 2 = 0 AND epoch = 1 AND status <> 'cancelled'"""
+SQL["frozen_list_mismatches"] = """
+WITH f AS (SELECT o_orderkey AS position, CASE WHEN o_orderkey % 90 = 5 THEN -o_custkey ELSE o_custkey END AS id FROM orders WHERE o_orderkey % 100 <> 7)
+SELECT coalesce(r.o_orderkey, f.position) AS position, r.o_custkey AS found, f.id AS expected
+FROM (SELECT * FROM orders WHERE o_orderkey % 100 <> 9) r FULL JOIN f ON f.position = r.o_orderkey WHERE r.o_custkey IS DISTINCT FROM f.id
+"""
+SQL["sorted_customers"] = "SELECT c_custkey, c_mktsegment FROM customer ORDER BY lower(c_mktsegment) DESC, c_custkey DESC LIMIT 50"
 SQL["windowed_events"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2"

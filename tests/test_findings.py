@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusguard.functions import text as tx
 from corpusguard.functions.percentile import lower_index
-from corpusguard.operators import findings, ledger, paths
+from corpusguard.operators import findings, ledger, params, paths
 
 SCHEMA = "source_id long, rule_id string, fingerprint string, path string, origin string, line_no int, context_name string, seq_id string, arrival long, triage string"
 
@@ -176,3 +176,21 @@ def test_control():
     assert ledger.control(stopped, "admit")["state"] == "ready"
     with pytest.raises(ValueError):
         ledger.control({"state": "odd", "epoch": 1}, "admit")
+
+
+def test_parameters():
+    assert params.listed("a,,b") == ["a", "b"] and params.listed(None) == []
+    assert params.positive("12") == 12 and params.members(["head"], ledger.PHASE_NAMES) == ["head"]
+    assert params.allowed([], [1, 2]) == [1, 2] and params.allowed([2], [1, 2]) == [2]
+    for bad in ("0", "-1", "1.5", "x", "", True, "٣"):
+        with pytest.raises(ValueError):
+            params.positive(bad)
+    for call in (lambda: params.members(["odd"], ["a"]), lambda: params.allowed([3], [1])):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_sorted_view_reverses(spark):
+    rows = spark.createDataFrame([(1, "b"), (2, "A"), (3, None), (4, "a")], "source_id int, name string")
+    up = [r.source_id for r in findings.sorted_view(rows, "name").collect()]
+    assert up == [3, 2, 4, 1] and [r.source_id for r in findings.sorted_view(rows, "name", True).collect()] == up[::-1]
