@@ -10,6 +10,7 @@ import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,14 +34,14 @@ def shingles(content: str) -> list[str]:
 
 
 def simhash64(content: str) -> int:
-    """A signed 64-bit simhash; 0 for a text without words."""
-    votes = [0] * 64
-    for run in set(shingles(content)):
-        digest = int.from_bytes(hashlib.blake2b(run.encode(), digest_size=8).digest(), "big")
-        for bit in range(64):
-            votes[bit] += 1 if digest >> bit & 1 else -1
-    value = sum(1 << bit for bit, vote in enumerate(votes) if vote > 0)
-    return value - (1 << 64) if value >> 63 else value
+    """A signed 64-bit simhash: each bit by majority over the distinct shingles'
+    digests, ties to 0; 0 for a text without words."""
+    runs = set(shingles(content))
+    if not runs:
+        return 0
+    digests = b"".join(hashlib.blake2b(run.encode(), digest_size=8).digest() for run in runs)
+    ones = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(len(runs), 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(runs)).tobytes(), "big", signed=True)
 
 
 def _fingerprints(subject: pd.Series, text: pd.Series) -> pd.DataFrame:

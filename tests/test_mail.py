@@ -62,6 +62,11 @@ def test_fingerprints():
     assert shingles("") == [] and shingles("a") == ["a"] and shingles("a b c d") == ["a b c", "b c d"]
     many = shingles(" ".join(str(i) for i in range(1000)))
     assert len(many) == 256 and many[0] == "0 1 2" and many[-1] == "997 998 999"
+    import hashlib
+
+    digests = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in ("a b c", "b c d", "c d e")]
+    majority = sum(1 << b for b in range(64) if sum(d >> b & 1 for d in digests) >= 2)
+    assert simhash64("a b c d e") % (1 << 64) == majority
     assert simhash64("") == 0 and -(1 << 63) <= simhash64("a b c") < 1 << 63
 
 
