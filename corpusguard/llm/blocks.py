@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusguard.llm.memory import release
+
 BLOCK_BYTES = 8 << 20
 
 
@@ -51,6 +53,9 @@ def deal(docs: DataFrame, n_blocks: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
             ends = np.concatenate([first[1:], [len(number)]])
             data = [as_stream(sorted_rows.slice(a, b - a)) for a, b in zip(first, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(number[first], pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+            out = pa.RecordBatch.from_arrays([pa.array(number[first], pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+            del rows, sorted_rows, data
+            release()
+            yield out
 
     return numbered.mapInArrow(cut, "block int, data binary")

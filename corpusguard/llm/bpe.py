@@ -17,6 +17,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.blocks import BLOCK_BYTES, as_stream, deal, from_streams
+from corpusguard.llm.blocks import as_stream, deal, from_streams
+from corpusguard.llm.memory import releasing
 from corpusguard.llm.packed import ranges
 from corpusguard.llm.store import parts, text_bytes
 from corpusguard.llm.words import Words, buffers
 
-RANGE_BYTES = 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 16 << 20, 8 << 20
+#: Words that the library encodes in one call.
+ENCODE_WORDS = 4096
 #: Bytes of text whose words are held as Python strings at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Fixed value: how byte-level BPE with a pattern cuts words.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this lead byte (code points under U+0540) the pattern's character classes
@@ -106,8 +110,10 @@ def _by_range(distinct: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(number[order], np.arange(n + 1))
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, carry: list[str] | None = None) -> DataFrame:
-    """``docs(doc_id, text, ...)`` → ``(doc_id, n_tokens, ids, carried...)``.
+def bpe_encode(docs: DataFrame, tokenizer: str, carry: list[str] | None = None, decode: bool = False) -> DataFrame:
+    """``docs(doc_id, text, ...)`` → ``(doc_id, n_tokens, ids, carried...)``; with
+    ``decode`` also ``decoded``, the text that the ids decode to, made from the ids
+    alone as ``bpe_decode`` makes it, but in the task that has them.
 
     ``tokenizer``: the JSON of a tokenizers file. ``ids``: little-endian unsigned
     32-bit integers. A null or empty text has no ids. Repeated rows are returned
@@ -120,6 +126,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, carry: list[str] | None = None)
     given = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
     rows = docs.select("doc_id", "text", given.alias("given"))
     blocks = deal(rows, n_blocks)
+    pieces = piece_table(tokenizer) if decode else []
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         distinct, _, _ = _words(from_streams(table.column("data")).column("text").combine_chunks(), tokenizer)
@@ -137,11 +144,13 @@ def bpe_encode(docs: DataFrame, tokenizer: str, carry: list[str] | None = None)
         asked = [pa.ipc.open_stream(x.as_buffer()).read_all().column("word").combine_chunks() for x in table.column("words")]
         one = pa.chunked_array([a.dictionary_encode() for a in asked]).unify_dictionaries()
         distinct = one.chunk(0).dictionary
-        ids: list[np.ndarray] = []
-        for lo in range(0, len(distinct), 20_000):
-            ids += [np.array(e.ids, dtype=np.uint32) for e in coder.encode_batch(distinct.slice(lo, 20_000).to_pylist(), add_special_tokens=False)]
-        size = np.array([len(x) for x in ids])
-        flat, first = np.concatenate(ids), np.concatenate([[0], np.cumsum(size)])
+        sizes, parts_of = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for lo in range(0, len(distinct), ENCODE_WORDS):
+            found = [e.ids for e in coder.encode_batch_fast(distinct.slice(lo, ENCODE_WORDS).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            parts_of.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        size, flat = np.concatenate(sizes), np.concatenate(parts_of)
+        first = np.concatenate([[0], np.cumsum(size)])
         narrow = np.uint16 if int(flat.max(initial=0)) < 1 << 16 else np.uint32
         answers = []
         for chunk in one.chunks:
@@ -160,19 +169,21 @@ def bpe_encode(docs: DataFrame, tokenizer: str, carry: list[str] | None = None)
         size = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]) if lists else np.zeros(0, np.int64)
         flat = np.concatenate([x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in lists]) if lists else np.zeros(0, "<u4")
         first = np.concatenate([[0], np.cumsum(size)])
-        words, ids, n_tokens, w = place[index], [], [], 0
+        words, ids, n_tokens, decoded, w = place[index], [], [], [], 0
         for n in counts:
             own = _gather(flat, first, words[w : w + n], size)
             ids.append(own.tobytes())
             n_tokens.append(len(own))
+            decoded.append(decode_ids(own, pieces) if decode else None)
             w += n
-        return pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(ids, pa.binary()), "given": table.column("given")})
+        out = {"doc_id": table.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())}
+        return pa.table(out | {"given": table.column("given")})
 
-    asked = blocks.groupBy("block").applyInArrow(ask, "range int, block int, words binary")
-    encoded = asked.groupBy("range").applyInArrow(encode, "block int, range int, ids binary")
+    asked = blocks.groupBy("block").applyInArrow(releasing(ask), "range int, block int, words binary")
+    encoded = asked.groupBy("range").applyInArrow(releasing(encode), "block int, range int, ids binary")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(assemble, f"doc_id {kinds['doc_id']}, n_tokens long, ids binary, given {kinds['given']}")
-    return out.select("doc_id", "n_tokens", "ids", *[F.col("given")[c].alias(c) for c in carry])
+    out = blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(releasing(assemble), f"doc_id {kinds['doc_id']}, n_tokens long, ids binary, decoded string, given {kinds['given']}")
+    return out.select("doc_id", "n_tokens", "ids", *(["decoded"] if decode else []), *[F.col("given")[c].alias(c) for c in carry])
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, which: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -193,21 +204,27 @@ def piece_bytes(tokenizer: str) -> dict[int, bytes]:
     return pieces | {t["id"]: t["content"].encode() for t in spec.get("added_tokens") or []}
 
 
+def piece_table(tokenizer: str) -> list[bytes]:
+    """Pieces by id; ids without one have none."""
+    pieces = piece_bytes(tokenizer)
+    return [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)]
+
+
+def decode_ids(ids: np.ndarray, pieces: list[bytes]) -> str:
+    return b"".join(map(pieces.__getitem__, ids[ids < len(pieces)].tolist())).decode("utf-8", "replace")
+
+
 def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """``encoded`` with a column ``ids`` → the same with ``decoded``: the pieces of
     the ids, special tokens included, joined and read as UTF-8. Ids without a piece
     are passed over; no ids or null: ''. A given column ``decoded`` is replaced."""
-    pieces = piece_bytes(tokenizer)
-    table = [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)]
+    pieces = piece_table(tokenizer)
     kept = [c for c in encoded.columns if c != "decoded"]
     schema = encoded.select(*kept).schema.add("decoded", "string")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_py() or b"", dtype="<u4")
-                out.append(b"".join(map(table.__getitem__, ids[ids < len(table)].tolist())).decode("utf-8", "replace"))
+            out = [decode_ids(np.frombuffer(x.as_py() or b"", dtype="<u4"), pieces) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.select(*kept).mapInArrow(decode, schema)

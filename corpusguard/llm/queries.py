@@ -1,4 +1,4 @@
-"""The queries of this package, by name, and their SQL."""
+"""The queries of this package, by name; their SQL is in ``sql``."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusguard.llm import decontaminate, url_filter
-from corpusguard.llm.bpe import bpe_decode, bpe_encode
+from corpusguard.llm.bpe import bpe_encode
 from corpusguard.llm.hmm import hmm_scores
 from corpusguard.llm.html_extract import extract_text
 from corpusguard.llm.jaccard_join import jaccard_join
@@ -63,8 +63,7 @@ def byte_bpe() -> str:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = byte_bpe()
-    out = bpe_decode(bpe_encode(documents(spark, sf_dir), tokenizer), tokenizer)
+    out = bpe_encode(documents(spark, sf_dir), byte_bpe(), decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -89,4 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op7_url_filter": url_filter.ORACLE}

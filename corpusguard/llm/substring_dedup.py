@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.llm.blocks import BLOCK_BYTES, deal, from_streams
+from corpusguard.llm.memory import releasing
 from corpusguard.llm.packed import first_of_runs, pack, range_bounds, unpack
 from corpusguard.llm.store import parts, text_bytes
 from corpusguard.llm.words import Words, buffers, slices
@@ -219,10 +220,10 @@ def substring_dedup(docs: DataFrame, window: int = 13, carry: list[str] | None =
         out = {"doc_id": b.table.column("doc_id"), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "given": b.table.column("given")}
         return pa.table(out)
 
-    anchors = blocks.groupBy("block").applyInArrow(ask_anchors, _MESSAGE)
-    shared = anchors.groupBy("range").applyInArrow(_which_are_shared, _ANSWER)
-    windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(ask_windows, _MESSAGE)
-    smaller = windows.groupBy("range").applyInArrow(_smaller_owners, _ANSWER)
+    anchors = blocks.groupBy("block").applyInArrow(releasing(ask_anchors), _MESSAGE)
+    shared = anchors.groupBy("range").applyInArrow(releasing(_which_are_shared), _ANSWER)
+    windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(releasing(ask_windows), _MESSAGE)
+    smaller = windows.groupBy("range").applyInArrow(releasing(_smaller_owners), _ANSWER)
     schema = f"doc_id long, n_words long, n_removed long, kept string, given {docs.select(given.alias('given')).schema['given'].dataType.simpleString()}"
-    out = blocks.groupBy("block").cogroup(shared.union(smaller).groupBy("block")).applyInArrow(remove, schema)
+    out = blocks.groupBy("block").cogroup(shared.union(smaller).groupBy("block")).applyInArrow(releasing(remove), schema)
     return out.select("doc_id", "n_words", "n_removed", "kept", *[F.col("given")[c].alias(c) for c in carry])
