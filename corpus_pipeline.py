@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm.bpe import bpe_decode, bpe_encode
+from corpusguard.llm.bpe import bpe_encode
 from corpusguard.llm.decontaminate import clean_documents
 from corpusguard.llm.jaccard_join import jaccard_join
 from corpusguard.llm.quality import learn_quality, quality_rules
@@ -51,8 +51,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text (little-endian 32-bit), and digests of the ids and of
     the text that they decode to."""
-    tokenizer = byte_bpe()
-    out = bpe_decode(bpe_encode(docs, tokenizer, carry=["lang", "source"]), tokenizer)
+    out = bpe_encode(docs, byte_bpe(), carry=["lang", "source"], decode=True)
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
