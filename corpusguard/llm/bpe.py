@@ -31,7 +31,7 @@ from corpusguard.llm.packed import ranges
 from corpusguard.llm.store import parts, text_bytes
 from corpusguard.llm.words import Words, buffers
 
-BLOCK_BYTES, RANGE_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
 #: Words that the library encodes in one call.
 ENCODE_WORDS = 4096
 #: Bytes of text whose words are held as Python strings at once.
@@ -55,7 +55,6 @@ def _splitter(tokenizer: str):
     added = spec.get("added_tokens") or []
     if spec.get("normalizer") or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
         raise ValueError("tokenizers with a normalizer, or whose added tokens take in their surroundings, are not supported")
-    pre = Tokenizer.from_str(tokenizer).pre_tokenizer
     kind = spec.get("pre_tokenizer") or {}
     plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
     find = regex.compile(BYTE_LEVEL_PATTERN).findall
@@ -64,8 +63,12 @@ def _splitter(tokenizer: str):
     contents = sorted((t["content"] for t in added if t["content"]), key=len, reverse=True)
     cut = regex.compile("(" + "|".join(map(regex.escape, contents)) + ")") if contents else None
 
+    @lru_cache(maxsize=1)
+    def library():  # tens of megabytes, so made only if a text needs it
+        return Tokenizer.from_str(tokenizer).pre_tokenizer
+
     def by_library(text: str) -> list[str]:
-        return [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
+        return [text[a:b] for _, (a, b) in library().pre_tokenize_str(text)]
 
     def split(text: str, old: bool) -> list[str]:
         one = find if plain and old else by_library
@@ -102,8 +105,12 @@ def _words(texts: pa.Array, tokenizer: str) -> tuple[pa.Array, np.ndarray, np.nd
 def _by_range(distinct: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of distinct words by range and then by bytes, and the ranges' bounds."""
     data, bounds = buffers(distinct)
-    data, bounds = data[bounds[0] :], bounds - bounds[0]
-    h = Words(data[: bounds[-1]], bounds[:-1], bounds[1:], bounds[:1], bounds[:1], bounds[-1:], 0).hashes() if len(distinct) else np.zeros(0, np.uint64)
+    h, at = np.empty(len(distinct), dtype=np.uint64), 0
+    while at < len(distinct):  # in stretches, as the hash's working memory grows with its bytes
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, side="right")) - 1)
+        own = bounds[at : stop + 1] - bounds[at]
+        h[at:stop] = Words(data[bounds[at] : bounds[stop]], own[:-1], own[1:], own[:1], own[:1], own[-1:], 0).hashes()
+        at = stop
     number = ranges(h, n)
     order = pc.sort_indices(distinct).to_numpy().astype(np.int64)
     order = order[np.argsort(number[order], kind="stable")]

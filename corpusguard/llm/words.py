@@ -38,7 +38,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grows by doubling and is kept."""
+    """base**0 .. base**(n-1) modulo 2**64, made by doubling; what a slice needs is kept."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         out = np.ones(max(n, 1 << 16), dtype=U64)
@@ -47,7 +47,9 @@ def _powers(base: int, n: int) -> np.ndarray:
             step = min(done, len(out) - done)
             out[done : done + step] = out[:step] * U64(pow(base, done, 1 << 64))
             done += step
-        _POWERS[base] = have = out
+        have = out
+        if n <= SLICE_BYTES:
+            _POWERS[base] = out
     return have[:n]
 
 
