@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusguard.llm.memory import release
 from corpusguard.llm.packed import first_of_runs
 from corpusguard.llm.words import U64, Words, mix, slices
 
-SAMPLE = 4000
+SAMPLE = 2500
 BUCKET_BITS = 16
-STEPS = 150
+STEPS = 100
 #: Texts whose probability of being good is below this are rejected.
 KEEP_AT = 0.5
 #: The rule on words and the one on repeated windows.
@@ -132,32 +133,39 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     if len(set(labels)) < 2:
         odds = (y.sum() + 1) / (len(y) - y.sum() + 1)
         return Model(np.zeros((kinds, size)), 0.0, 1.0, float(np.log(odds)))
-    column, value, owner = [], [], []
+    # Each text's share of each bucket, a piece per kind and slice of texts; sums go
+    # over the pieces one by one, so no array is as long as all of them.
+    pieces = []
     for w in slices(pa.array(texts, pa.large_string())):
         for kind, (bucket, first) in enumerate(_features(w)):
             n = np.diff(first)
             text = np.repeat(np.arange(w.n_texts), n)
             key, count = np.unique(text * size + bucket, return_counts=True)
             text = key // size
-            column.append((key % size + kind * size).astype(np.int32))
-            value.append((count / np.maximum(n, 1)[text]).astype(np.float32))
-            owner.append((text + w.row).astype(np.int32))
-    column, value, owner = (np.concatenate(x) for x in (column, value, owner))
+            pieces.append(((key % size + kind * size).astype(np.int32), (count / np.maximum(n, 1)[text]).astype(np.float32), (text + w.row).astype(np.int32)))
+
+    def margins(weight: np.ndarray, bias: float) -> np.ndarray:
+        z = np.full(len(y), bias)
+        for column, value, owner in pieces:
+            z += np.bincount(owner, weights=value * weight[column], minlength=len(y))
+        return z
+
     back = np.random.default_rng(0).permutation(len(y)) < len(y) // 5
     used = ~back
     balance = np.where(y > 0, 0.5 / max(1, (y[used] > 0).sum()), 0.5 / max(1, (y[used] == 0).sum())) * used
     weight, bias = np.zeros(kinds * size), 0.0
     m, v, mb, vb = np.zeros_like(weight), np.zeros_like(weight), 0.0, 0.0
     for step in range(1, STEPS + 1):  # Adam on the whole sample
-        z = np.bincount(owner, weights=value * weight[column], minlength=len(y)) + bias
-        gap = (_sigmoid(z) - y) * balance
-        g = np.bincount(column, weights=value * gap[owner], minlength=len(weight)) + 1e-7 * weight
+        gap = (_sigmoid(margins(weight, bias)) - y) * balance
+        g = 1e-7 * weight
+        for column, value, owner in pieces:
+            g += np.bincount(column, weights=value * gap[owner], minlength=len(weight))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gap.sum(), 0.999 * vb + 0.001 * gap.sum() ** 2
         rate = 0.2
         weight -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
         bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-6)
-    z = np.bincount(owner, weights=value * weight[column], minlength=len(y)) + bias
+    z = margins(weight, bias)
     slope, offset = _platt(z[back], y[back]) if back.any() and len(set(y[back])) == 2 else (1.0, 0.0)
     return Model(weight.reshape(kinds, size), bias, slope, offset)
 
@@ -215,6 +223,7 @@ def quality_rules(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT
                     ],
                     ["doc_id", *names, "base_failed", "probability", "kept", "given"],
                 )
+            release()
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"doc_id {kinds['doc_id']}, " + ", ".join(f"{c} long" for c in names) + f", base_failed boolean, probability double, kept boolean, given {kinds['given']}"
