@@ -8,7 +8,7 @@
    have is one entry per chunk; the chunk's other sets go past the ranges and get
    the signature's leader by a join.
 3. All sets that share a signature form the group of their leader, the smallest
-   node among them. A group is verified in cells of at most ``CELL`` x ``CELL`` sets by exact
+   node among them. A group is verified in cells of about ``CELL`` x ``CELL`` sets by exact
    intersection; a cell emits a spanning forest of its links, never its pairs.
 4. Components of the links by alternating stars.
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.llm.components import components
+from corpusguard.llm.memory import release, releasing
 from corpusguard.llm.packed import first_of_runs, pack, ranges, unpack
 from corpusguard.llm.partenum import Band, bands, set_hashes, shingle_sets, signatures
 from corpusguard.llm.store import BROADCAST_KEYS, keep_keys, parts, stored, text_bytes
@@ -35,8 +36,8 @@ from corpusguard.llm.words import slices
 FLUSH = 1 << 19
 #: Bytes of text for each hash range.
 RANGE_BYTES = 4 << 20
-#: Sets on a side of a verification cell.
-CELL = 1000
+#: Sets on a side of a verification cell, and shingles in them, on average.
+CELL, CELL_SHINGLES = 1000, 1 << 20
 #: Shared elements of a cell that are matched at once.
 COLUMNS = 4096
 
@@ -52,6 +53,7 @@ def set_table(docs: DataFrame, size: int = 5) -> DataFrame:
                     [batch.column(0).slice(w.row, w.n_texts), pa.array(np.diff(first), pa.int64()), pa.array(set_hashes(s, first).view(np.int64))],
                     ["doc_id", "n_shingles", "set_hash"],
                 )
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, n_shingles long, set_hash long")
 
@@ -109,6 +111,7 @@ def shared_signatures(docs: DataFrame, which: list[Band], n_ranges: int, size: i
                 if held >= FLUSH:
                     yield from _flush(np.concatenate(sigs), np.concatenate(owners), n_ranges)
                     sigs, owners, held = [], [], 0
+                    release()
         if held:
             yield from _flush(np.concatenate(sigs), np.concatenate(owners), n_ranges)
 
@@ -135,7 +138,7 @@ def shared_signatures(docs: DataFrame, which: list[Band], n_ranges: int, size: i
 
     signed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     signed = signed.mapInArrow(sign, "range int, sigs binary, docs binary, many binary")
-    return signed.groupBy("range").applyInArrow(match, "lead long, node long, sig long")
+    return signed.groupBy("range").applyInArrow(releasing(match), "lead long, node long, sig long")
 
 
 def _links(node: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -232,6 +235,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     table = stored(set_table(docs, size), "sets")
     largest = table.agg(F.max("n_shingles")).first()[0] or 0
     nodes = table.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"))
+    nodes = stored(nodes, "sets-named")  # by itself, so that Spark can split the copies of one set in the join
     named = stored(table.join(nodes, "set_hash", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "nodes")
 
     which = bands(int(largest), num, den)
@@ -244,10 +248,13 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     pairs = shared.where("lead is not null and node is not null").select("lead", "node").union(past).distinct()
     # A group of two is one pair: it goes if their sizes alone rule it out.
     sizes = named.where("doc_id = node").select("node", F.col("n_shingles").alias("n")).distinct()
-    members = pairs.join(sizes, "node").join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n")), "lead")
+    # Groups are counted before the leaders' sizes are joined, so that a leader of
+    # very many sets is one row by then.
+    counted = pairs.join(sizes, "node").groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.sum("n").alias("total"))
+    counted = counted.join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n")), "lead")
     close = F.lit(den) * F.least("n", "lead_n") >= F.lit(num) * F.greatest("n", "lead_n")
-    counted = members.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.max(close).alias("close"))
-    counted = counted.where("size > 1 or close").select("lead", F.ceil((F.col("size") + 1) / F.lit(CELL)).cast("int").alias("blocks"))
+    n_blocks = F.ceil(F.greatest((F.col("size") + 1) / F.lit(CELL), (F.col("total") + F.col("lead_n")) / F.lit(CELL_SHINGLES)))
+    counted = counted.where((F.col("size") > 1) | close).select("lead", n_blocks.cast("int").alias("blocks"))
     blocks = stored(counted, "blocks")
     groups = stored(pairs.join(blocks.select("lead"), "lead", "left_semi").union(blocks.select("lead", F.col("lead").alias("node"))), "groups")
 
