@@ -150,7 +150,9 @@ def _candidates(files: DataFrame) -> DataFrame:
 def record_spans(files: DataFrame) -> DataFrame:
     """``(path, place, leaves)``: spans of whole records, in chains from each
     file's start, found by pointer jumping. A chain ends where its bytes do."""
-    jumps = stored(_candidates(files), "jumps")
+    # A row per record compresses to little on disk, so sizes of files would have
+    # Spark broadcast them; the hint keeps these joins shuffled.
+    jumps = stored(_candidates(files), "jumps").hint("merge")
     first, reached = jumps, stored(files.select("path", F.lit(0).cast("long").alias("place")), "reached")
     n = reached.count()
     while True:
@@ -160,7 +162,7 @@ def record_spans(files: DataFrame) -> DataFrame:
             break
         reached, n = grown, size
         onward = jumps.select("path", F.col("place").alias("_next"), F.col("leaves").alias("_leaves"))
-        jumps = stored(jumps.withColumnRenamed("leaves", "_next").join(onward, ["path", "_next"]).select("path", "place", F.col("_leaves").alias("leaves")), "jumps")
+        jumps = stored(jumps.withColumnRenamed("leaves", "_next").join(onward, ["path", "_next"]).select("path", "place", F.col("_leaves").alias("leaves")), "jumps").hint("merge")
     return first.join(reached, ["path", "place"], "left_semi")
 
 
