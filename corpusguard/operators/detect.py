@@ -25,9 +25,10 @@ FINDING = (
     "doc_id long, source string, rule_id string, span_start int, span_end int, line_no int, context_name string, "
     "fingerprint string, value_len int, origin string, seen_in array<string>, triage string, first_seen timestamp, ruleset_version string"
 )
-#: Every token of every rule but the key headers holds a run of this; the headers,
-#: and the marker of key files, are named.
-POSSIBLE = r"[A-Za-z0-9_+/%=.:-]{17,}|PRIVATE KEY|service_account"
+#: Every token of every rule holds a run of this or one of the markers: of the rules
+#: whose shortest tokens are shorter (Slack's, signed JSON), of the key headers, and
+#: of key files. A test makes the shortest match of each rule.
+POSSIBLE = r"[A-Za-z0-9_+/%=.:-]{17,}|xox[baprs]-|eyJ|PRIVATE KEY|service_account"
 
 
 def may_hold_tokens(text: Column) -> Column:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import string
 
 import pytest
@@ -215,3 +216,38 @@ def test_no_column_holds_a_matched_value(spark):
     for r in clean:
         assert not any(r.text and t in r.text for d, t in zip((f.doc_id for f in found), tokens, strict=True) if d == r.doc_id)
     assert [r.text for r in clean if r.doc_id >= len(values) - 3] == [None, "", "nothing here"]
+
+
+def shortest(parsed):
+    """A shortest match of a parsed pattern; look-around and bounds are met by zeros."""
+    out = []
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(value))
+        elif name == "IN":
+            holds = lambda c: any(str(o) == "CATEGORY" or (o_v == c if str(o) == "LITERAL" else o_v[0] <= c <= o_v[1]) for o, o_v in value)  # noqa: B023, E731
+            out.append(next(chr(c) for c in [ord("0"), *range(33, 127)] if holds(c)))
+        elif name == "MAX_REPEAT":
+            out.append(shortest(value[2]) * value[0])
+        elif name == "SUBPATTERN":
+            out.append(shortest(value[3]))
+        elif name == "BRANCH":
+            out.append(min((shortest(b) for b in value[1]), key=len))
+        else:
+            assert name in ("AT", "ASSERT", "ASSERT_NOT"), name
+    return "".join(out)
+
+
+def test_the_shortest_match_of_each_rule_passes_the_prefilter(spark):
+    texts = {r.rule_id: f"a {shortest(re._parser.parse(r.pattern.pattern, r.pattern.flags))} b" for r in RULES}
+    assert all(r.pattern.search(texts[r.rule_id]) for r in RULES)
+    frame = spark.createDataFrame(list(texts.items()), "rule_id string, text string")
+    assert frame.where(~may_hold_tokens(F.col("text"))).collect() == []
+
+
+def test_short_tokens_are_found_and_redacted(spark):
+    tokens = ["xo" + "xb-1234567890", "xo" + "xp-12345678901", "ey" + "Jhb.eyJz.c2ln"]
+    frame = spark.createDataFrame([(i, "s", f"use {t} now") for i, t in enumerate(tokens)], "doc_id long, source string, text string")
+    assert sorted(r.rule_id for r in detect(frame, b"k", "2024-01-01").collect()) == ["jwt_token", "slack_token", "slack_token"]
+    assert {(r.text, r.n_redacted) for r in redact_texts(frame).collect()} == {("use [REDACTED:slack_token] now", 1), ("use [REDACTED:jwt_token] now", 1)}
