@@ -221,15 +221,19 @@ def main_text(page: str, unimportant: frozenset[int] | set[int], paths: Paths) -
     """Text of the page's articles, else of its main element, else of its body,
     without branches that are noise or whose path is ``unimportant``."""
     nodes, chunks, _ = parse(page, paths)
-    stop = 0
+    stop, gone = 0, 0
     dropped = bytearray(len(chunks))
+    left: list[Node] = []  # no branch that goes is around these; labels nest as nodes do, chunks of inline ones may coincide
     for node in nodes:
         if node.noise or (node.judged and node.path in unimportant):
+            gone = max(gone, node.labels_end)
             if node.chunk_end > max(stop, node.chunk):
                 dropped[node.chunk : node.chunk_end] = b"\x01" * (node.chunk_end - node.chunk)
                 stop = node.chunk_end
+        elif node.kind and node.labels >= gone:
+            left.append(node)
     for kind in ("article", "main"):
-        spans = [(n.chunk, n.chunk_end) for n in nodes if n.kind == kind and not n.noise and n.chunk_end > n.chunk and not dropped[n.chunk]]
+        spans = [(n.chunk, n.chunk_end) for n in left if n.kind == kind and n.chunk_end > n.chunk]
         spans = [s for s in spans if any(not dropped[i] and chunks[i][0].strip() for i in range(*s))]
         if spans:
             break

@@ -81,3 +81,16 @@ def test_against_the_article_of_plain_pages(spark):
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         want[r.page_id] = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", inner)).split())
     assert {r.page_id: r.text for r in extract_text(pages).collect()} == want
+
+
+def test_an_article_may_open_with_inline_noise():
+    one = "<article><a class=share>Share</a><p>first text</p></article>"
+    assert main_text(f"<body><p>outside</p>{one}</body>", set(), Paths()) == "first text"
+    assert main_text(f"<body>{one}<p>outside</p><article><p>second text</p></article></body>", set(), Paths()) == "first text second text"
+    # The same with an inline branch that is alike on all pages of a host.
+    page = "<body><p>outside</p><article><span class=kicker>Daily</span><p>first text</p></article></body>"
+    paths = Paths()
+    kicker = next(n.path for n in module.parse(page, paths)[0] if n.tag == "span")
+    assert main_text(page, {kicker}, paths) == "first text"
+    # An article inside noise, inline or not, still goes.
+    assert main_text("<body><div class=ads><article>spam</article></div><article>text</article></body>", set(), Paths()) == "text"
