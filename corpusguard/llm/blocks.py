@@ -17,10 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusguard.llm.memory import release
 
 BLOCK_BYTES = 8 << 20
+#: What a row counts besides its text when blocks are dealt.
+ROW_BYTES = 64
+
+
+def with_given(columns: str, rows: DataFrame) -> StructType:
+    """The columns of a DDL string and then ``given`` of ``rows``, as nullable as it is."""
+    return StructType([*StructType.fromDDL(columns), rows.schema["given"]])
 
 
 def as_stream(table: pa.Table | pa.RecordBatch) -> bytes:
@@ -35,11 +43,12 @@ def from_streams(column: pa.ChunkedArray) -> pa.Table:
 
 
 def deal(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """``docs``, its first column the key → ``(block int, data binary)``. Rows with
-    a null key are dealt by their second column."""
-    key, other = docs.columns[:2]
-    number = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(other))
-    block = F.pmod(number, F.lit(n_blocks))
+    """``docs(key, text, ...)`` → ``(block int, data binary)``. Rows are dealt by
+    key, text and the partition they are in, so that no key, and no row that is
+    repeated or null in many partitions, makes a large block. A task that runs
+    again deals as before."""
+    key, text = docs.columns[:2]
+    block = F.pmod(F.xxhash64(key, text, F.spark_partition_id()), F.lit(n_blocks))
     numbered = docs.select(block.cast("int").alias("_block"), F.struct(*docs.columns).alias("_row"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

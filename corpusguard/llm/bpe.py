@@ -1,4 +1,4 @@
-"""BPE encoding by a distinct-word table, and decoding by an id-to-piece table.
+"""BPE encoding by a distinct-word table, and decoding by an id-to-piece join.
 
 Texts are split into the tokenizer's words; each block of documents sends its
 distinct words, each once, to their hash ranges; a range encodes each distinct
@@ -6,6 +6,10 @@ word of the corpus once and answers every block that asked; the block puts the
 ids back by position. Words are what the pre-tokenizer cuts, so the ids of a text
 are the ids of its words in order, as the tokenizers library has them.
 
+Decoding joins each row with the id-to-piece table, which is one broadcast row
+(its size is the vocabulary's), and looks its ids up there; it is built-in functions
+only, a row at a time, so no task holds the decoded texts of a block.
+
 The tokenizer's JSON is a bounded file that every task gets (some MB). Truncation
 and padding are not applied and no special tokens are added; an added token that
 occurs in a text is cut out first and becomes its id, as in the library.
@@ -15,23 +19,25 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm.blocks import as_stream, deal, from_streams
+from corpusguard.llm.blocks import ROW_BYTES, as_stream, deal, with_given
 from corpusguard.llm.memory import releasing
 from corpusguard.llm.packed import ranges
 from corpusguard.llm.store import parts, text_bytes
 from corpusguard.llm.words import Words, buffers
 
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
+#: Text of a block, whose distinct words one task holds; text for each hash range,
+#: of which a task holds the distinct words of every block.
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 32 << 20
 #: Words that the library encodes in one call.
 ENCODE_WORDS = 4096
 #: Bytes of text whose words are held as Python strings at once.
@@ -79,27 +85,29 @@ def _splitter(tokenizer: str):
     return split
 
 
-def _words(texts: pa.Array, tokenizer: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words of a column; the index of each word of its texts, in order;
-    and how many words each text has."""
+def _words(texts: pa.Array, tokenizer: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """For each stretch of a column: its distinct words; the index of each word of
+    its texts, in order; and how many words each text has."""
     split = _splitter(tokenizer)
     data, bounds = buffers(texts)
-    chunks, counts, row = [], [], 0
+    row = 0
     while row < len(texts):
         stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + CHUNK, side="right")) - 1)
         found: list[str] = []
+        counts = []
         for i in range(row, stop):
             raw = data[bounds[i] : bounds[i + 1]]
             here = split(raw.tobytes().decode(), not len(raw) or int(raw.max()) < _OLD_LEAD) if len(raw) else []
             counts.append(len(here))
             found += here
-        chunks.append(pa.array(found, pa.large_string()).dictionary_encode())
+        coded = pa.array(found, pa.large_string()).dictionary_encode()
+        yield coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.array(counts, dtype=np.int64)
         row = stop
-    if not chunks:
-        return pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    one = pa.chunked_array(chunks).unify_dictionaries()
-    index = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in one.chunks])
-    return one.chunk(0).dictionary, index.astype(np.int64), np.array(counts, dtype=np.int64)
+
+
+def _distinct(arrays: Iterable[pa.Array]) -> pa.DictionaryArray:
+    """Words of several arrays, one after the other, by their distinct ones."""
+    return pa.chunked_array([pa.array([], pa.large_string()), *arrays]).combine_chunks().dictionary_encode()
 
 
 def _by_range(distinct: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,37 +125,42 @@ def _by_range(distinct: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(number[order], np.arange(n + 1))
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, carry: list[str] | None = None, decode: bool = False) -> DataFrame:
-    """``docs(doc_id, text, ...)`` → ``(doc_id, n_tokens, ids, carried...)``; with
-    ``decode`` also ``decoded``, the text that the ids decode to, made from the ids
-    alone as ``bpe_decode`` makes it, but in the task that has them.
+@lru_cache(maxsize=1)
+def _coder(tokenizer: str):
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    coder = Tokenizer.from_str(tokenizer)
+    coder.no_truncation()
+    coder.no_padding()
+    return coder
+
 
-    ``tokenizer``: the JSON of a tokenizers file. ``ids``: little-endian unsigned
-    32-bit integers. A null or empty text has no ids. Repeated rows are returned
-    as often as they occur; null doc_ids are kept. Columns that ``carry`` doesn't
-    name are ignored. An empty table gives no rows.
+def bpe_encode(docs: DataFrame, tokenizer: str, carry: list[str] | None = None) -> DataFrame:
+    """``docs(doc_id, text, ...)`` → ``(doc_id, n_tokens, ids, ids_bytes, carried...)``.
+
+    ``tokenizer``: the JSON of a tokenizers file. ``ids``: array of int;
+    ``ids_bytes``: the same as little-endian unsigned 32-bit integers. A null or
+    empty text has no ids. Repeated rows are returned as often as they occur; null
+    doc_ids are kept. Columns that ``carry`` doesn't name are ignored. An empty
+    table gives no rows.
     """
     carry = carry or []
-    _, total = text_bytes(docs, "text")
-    n_blocks, n_ranges = parts(total, BLOCK_BYTES), parts(total, RANGE_BYTES)
+    n_rows, total = text_bytes(docs, "text")
+    n_blocks, n_ranges = parts(total + ROW_BYTES * n_rows, BLOCK_BYTES), parts(total, RANGE_BYTES, 32)
     given = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
     rows = docs.select("doc_id", "text", given.alias("given"))
     blocks = deal(rows, n_blocks)
-    pieces = piece_table(tokenizer) if decode else []
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        distinct, _, _ = _words(from_streams(table.column("data")).column("text").combine_chunks(), tokenizer)
+        texts = (pa.ipc.open_stream(x.as_buffer()).read_all().column("text").combine_chunks() for x in table.column("data"))
+        distinct = _distinct(a for part in texts for a, _, _ in _words(part, tokenizer)).dictionary
         order, at = _by_range(distinct, n_ranges)
         out = [(r, key[0].as_py(), as_stream(pa.table({"word": distinct.take(pa.array(order[lo:hi]))}))) for r, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["range", "block", "words"])
 
     def encode(table: pa.Table) -> pa.Table:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = Tokenizer.from_str(tokenizer)
-        coder.no_truncation()
-        coder.no_padding()
+        coder = _coder(tokenizer)
         asked = [pa.ipc.open_stream(x.as_buffer()).read_all().column("word").combine_chunks() for x in table.column("words")]
         one = pa.chunked_array([a.dictionary_encode() for a in asked]).unify_dictionaries()
         distinct = one.chunk(0).dictionary
@@ -166,8 +179,20 @@ def bpe_encode(docs: DataFrame, tokenizer: str, carry: list[str] | None = None,
         return pa.table({"block": table.column("block"), "range": table.column("range"), "ids": pa.array(answers, pa.binary())})
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = from_streams(left.column("data"))
-        distinct, index, counts = _words(table.column("text").combine_chunks(), tokenizer)
+        _coder.cache_clear()  # a worker that has encoded words does not need it here
+        # Part by part: the words' places among all that were met so far, and the
+        # ids by those places once all are known.
+        met, kept, places = [], [], []
+        for stream in left.column("data"):
+            table = pa.ipc.open_stream(stream.as_buffer()).read_all()
+            counts = []
+            for distinct, index, n in _words(table.column("text").combine_chunks(), tokenizer):
+                met.append(distinct)
+                places.append(index.astype(np.int32))
+                counts.append(n)
+            kept.append(table.select(["doc_id", "given"]).append_column("n", pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())))
+        one = _distinct(met)
+        distinct = one.dictionary
         order, at = _by_range(distinct, n_ranges)
         place = np.empty(len(order), dtype=np.int64)  # of each distinct word, among the answers in range order
         place[order] = np.arange(len(order))
@@ -176,21 +201,31 @@ def bpe_encode(docs: DataFrame, tokenizer: str, carry: list[str] | None = None,
         size = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]) if lists else np.zeros(0, np.int64)
         flat = np.concatenate([x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in lists]) if lists else np.zeros(0, "<u4")
         first = np.concatenate([[0], np.cumsum(size)])
-        words, ids, n_tokens, decoded, w = place[index], [], [], [], 0
-        for n in counts:
-            own = _gather(flat, first, words[w : w + n], size)
-            ids.append(own.tobytes())
-            n_tokens.append(len(own))
-            decoded.append(decode_ids(own, pieces) if decode else None)
-            w += n
-        out = {"doc_id": table.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())}
+        # Words in order, with their ids: a stretch at a time, into one buffer.
+        to = place[one.indices.to_numpy(zero_copy_only=False)]  # of each part's distinct words
+        starts = np.concatenate([[0], np.cumsum([len(d) for d in met])]).astype(np.int64)
+        n_ids = [size[to[starts[i] + places[i]]] for i in range(len(met))]
+        ids = np.empty(sum(int(n.sum()) for n in n_ids), "<u4")
+        done, ends = 0, []
+        for i, n in enumerate(n_ids):
+            own = _gather(flat, first, to[starts[i] + places[i]], size)
+            ids[done : done + len(own)] = own
+            ends.append(done + np.cumsum(n))
+            done += len(own)
+        table = pa.concat_tables(kept)
+        words = np.concatenate([[0], np.cumsum(np.asarray(table.column("n")))])
+        bounds = np.concatenate([np.zeros(1, np.int64), *ends])[words]
+        buffer = pa.py_buffer(ids)
+        as_bytes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * 4), buffer])
+        as_list = pa.LargeListArray.from_arrays(pa.array(bounds), pa.Array.from_buffers(pa.int32(), len(ids), [None, buffer]))
+        out = {"doc_id": table.column("doc_id"), "n_tokens": pa.array(np.diff(bounds), pa.int64()), "ids": as_list.cast(pa.list_(pa.int32())), "ids_bytes": as_bytes.cast(pa.binary())}
         return pa.table(out | {"given": table.column("given")})
 
     asked = blocks.groupBy("block").applyInArrow(releasing(ask), "range int, block int, words binary")
     encoded = asked.groupBy("range").applyInArrow(releasing(encode), "block int, range int, ids binary")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(releasing(assemble), f"doc_id {kinds['doc_id']}, n_tokens long, ids binary, decoded string, given {kinds['given']}")
-    return out.select("doc_id", "n_tokens", "ids", *(["decoded"] if decode else []), *[F.col("given")[c].alias(c) for c in carry])
+    schema = with_given(f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, ids_bytes binary", rows)
+    out = blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(releasing(assemble), schema)
+    return out.select("doc_id", "n_tokens", "ids", "ids_bytes", *[F.col("given")[c].alias(c) for c in carry])
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, which: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -211,27 +246,22 @@ def piece_bytes(tokenizer: str) -> dict[int, bytes]:
     return pieces | {t["id"]: t["content"].encode() for t in spec.get("added_tokens") or []}
 
 
-def piece_table(tokenizer: str) -> list[bytes]:
-    """Pieces by id; ids without one have none."""
+def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """``(pieces)``: one row, the pieces by id, a byte as the character of its number;
+    ids without a piece have an empty one."""
     pieces = piece_bytes(tokenizer)
-    return [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)]
-
-
-def decode_ids(ids: np.ndarray, pieces: list[bytes]) -> str:
-    return b"".join(map(pieces.__getitem__, ids[ids < len(pieces)].tolist())).decode("utf-8", "replace")
+    listed = [pieces.get(i, b"").decode("latin-1") for i in range(max(pieces, default=-1) + 1)]
+    return spark.createDataFrame([(listed,)], "pieces array<string>")
 
 
 def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """``encoded`` with a column ``ids`` → the same with ``decoded``: the pieces of
-    the ids, special tokens included, joined and read as UTF-8. Ids without a piece
-    are passed over; no ids or null: ''. A given column ``decoded`` is replaced."""
-    pieces = piece_table(tokenizer)
+    """``encoded`` with a column ``ids`` (array of int) → the same with ``decoded``:
+    the pieces of the ids, special tokens included, joined and read as UTF-8, what
+    is no UTF-8 as U+FFFD. Ids without a piece are passed over; no ids or null: ''.
+    A given column ``decoded`` is replaced."""
     kept = [c for c in encoded.columns if c != "decoded"]
-    schema = encoded.select(*kept).schema.add("decoded", "string")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [decode_ids(np.frombuffer(x.as_py() or b"", dtype="<u4"), pieces) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
-
-    return encoded.select(*kept).mapInArrow(decode, schema)
+    held = encoded.select(F.struct(*kept).alias("_row")).join(F.broadcast(piece_table(encoded.sparkSession, tokenizer)))
+    found = F.transform(F.col("_row")["ids"], lambda i: F.coalesce(F.get("pieces", i), F.lit("")))
+    raw = F.encode(F.array_join(found, ""), "ISO-8859-1")
+    decoded = F.coalesce(F.make_valid_utf8(raw.cast("string")), F.lit(""))
+    return held.select(*[F.col("_row")[c].alias(c) for c in kept], decoded.alias("decoded"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusguard.llm.blocks import with_given
 from corpusguard.llm.words import buffers
 
 SAMPLE = 3000
@@ -190,8 +191,7 @@ def identify(docs: DataFrame, model: Model | None, carry: list[str] | None = Non
             accepted = (names != UNKNOWN) & (scores >= (model.reject_below if model is not None else 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(accepted.astype(bool)), batch.column(3)], ["doc_id", "lang_pred", "score", "accepted", "given"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.mapInArrow(predict, f"doc_id {kinds['doc_id']}, lang_pred string, score double, accepted boolean, given {kinds['given']}")
+    out = rows.mapInArrow(predict, with_given(f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, accepted boolean", rows))
     return out.select("doc_id", "lang_pred", "score", "accepted", *[F.col("given")[c].alias(c) for c in carry])
 
 

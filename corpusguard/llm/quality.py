@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusguard.llm.blocks import with_given
 from corpusguard.llm.memory import release
 from corpusguard.llm.packed import first_of_runs
 from corpusguard.llm.words import U64, Words, mix, slices
@@ -225,9 +226,8 @@ def quality_rules(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT
                 )
             release()
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"doc_id {kinds['doc_id']}, " + ", ".join(f"{c} long" for c in names) + f", base_failed boolean, probability double, kept boolean, given {kinds['given']}"
-    out = rows.mapInArrow(judge, schema)
+    columns = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, probability double, kept boolean"
+    out = rows.mapInArrow(judge, with_given(columns, rows))
     return out.select("doc_id", *names, "base_failed", "probability", "kept", *[F.col("given")[c].alias(c) for c in carry])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusguard.llm import decontaminate, url_filter
-from corpusguard.llm.bpe import bpe_encode
+from corpusguard.llm.bpe import bpe_decode, bpe_encode
 from corpusguard.llm.hmm import hmm_scores
 from corpusguard.llm.html_extract import extract_text
 from corpusguard.llm.jaccard_join import jaccard_join
@@ -24,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(documents(spark, sf_dir))
+    return jaccard_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,8 @@ def byte_bpe() -> str:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe_encode(documents(spark, sf_dir), byte_bpe(), decode=True)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe_decode(bpe_encode(documents(spark, sf_dir), byte_bpe()), byte_bpe())
+    return out.select("doc_id", "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.blocks import BLOCK_BYTES, deal, from_streams
+from corpusguard.llm.blocks import BLOCK_BYTES, ROW_BYTES, deal, from_streams, with_given
 from corpusguard.llm.memory import releasing
 from corpusguard.llm.packed import first_of_runs, pack, range_bounds, unpack
 from corpusguard.llm.store import parts, text_bytes
@@ -173,10 +173,11 @@ def substring_dedup(docs: DataFrame, window: int = 13, carry: list[str] | None =
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
     carry = carry or []
-    _, total = text_bytes(docs, "text")
-    n_blocks, n_ranges = parts(total, BLOCK_BYTES), parts(total, RANGE_BYTES)
+    n_rows, total = text_bytes(docs, "text")
+    n_blocks, n_ranges = parts(total + ROW_BYTES * n_rows, BLOCK_BYTES), parts(total, RANGE_BYTES)
     given = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
-    blocks = deal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", given.alias("given")), n_blocks)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", given.alias("given"))
+    blocks = deal(rows, n_blocks)
 
     def ask_anchors(key: tuple, table: pa.Table) -> pa.Table:
         _, keys, many = Block(table, window).anchors()
@@ -224,6 +225,6 @@ def substring_dedup(docs: DataFrame, window: int = 13, carry: list[str] | None =
     shared = anchors.groupBy("range").applyInArrow(releasing(_which_are_shared), _ANSWER)
     windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(releasing(ask_windows), _MESSAGE)
     smaller = windows.groupBy("range").applyInArrow(releasing(_smaller_owners), _ANSWER)
-    schema = f"doc_id long, n_words long, n_removed long, kept string, given {docs.select(given.alias('given')).schema['given'].dataType.simpleString()}"
+    schema = with_given("doc_id long, n_words long, n_removed long, kept string", rows)
     out = blocks.groupBy("block").cogroup(shared.union(smaller).groupBy("block")).applyInArrow(releasing(remove), schema)
     return out.select("doc_id", "n_words", "n_removed", "kept", *[F.col("given")[c].alias(c) for c in carry])
