@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents linked by similar sets of word shingles.
 
-1. One pass gives each document its set size and set hash. Documents with equal
-   sets are one node, named by their smallest doc_id; only nodes are compared.
+1. One pass gives each row its set size and set hash. Equal sets are one node,
+   named by their hash; only nodes are compared, and doc_ids come back at the end.
 2. One pass makes PartEnum signatures (``partenum``) of the nodes. Signatures travel
    packed by hash range. Within a chunk of texts the copies of a signature meet
    locally and one entry goes on, so a signature that a third of all documents
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusguard.llm.blocks import with_given
 from corpusguard.llm.components import components
 from corpusguard.llm.memory import release, releasing
 from corpusguard.llm.packed import first_of_runs, pack, ranges, unpack
@@ -42,20 +43,28 @@ CELL, CELL_SHINGLES = 1000, 1 << 20
 COLUMNS = 4096
 
 
-def set_table(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``(doc_id, text)`` → ``(doc_id, n_shingles, set_hash)``, one row per row."""
+def set_table(docs: DataFrame, size: int = 5, carry: list[str] | None = None) -> DataFrame:
+    """``(doc_id, text, ...)`` → ``(doc_id, n_shingles, set_hash)``, one row per row,
+    and a struct ``given`` of the columns that ``carry`` names."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in slices(batch.column(1), lower=True):
                 s, first = shingle_sets(w, size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.row, w.n_texts), pa.array(np.diff(first), pa.int64()), pa.array(set_hashes(s, first).view(np.int64))],
-                    ["doc_id", "n_shingles", "set_hash"],
+                    [
+                        batch.column(0).slice(w.row, w.n_texts),
+                        pa.array(np.diff(first), pa.int64()),
+                        pa.array(set_hashes(s, first).view(np.int64)),
+                        *(c.slice(w.row, w.n_texts) for c in batch.columns[2:]),
+                    ],
+                    ["doc_id", "n_shingles", "set_hash", *batch.schema.names[2:]],
                 )
             release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, n_shingles long, set_hash long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*carry).alias("given")] if carry else []))
+    columns = "doc_id long, n_shingles long, set_hash long"
+    return rows.mapInArrow(sets, with_given(columns, rows) if carry else columns)
 
 
 def _flush(sig: np.ndarray, doc: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
@@ -89,24 +98,22 @@ def shared_signatures(docs: DataFrame, which: list[Band], n_ranges: int, size: i
     """``(lead, node, sig)`` for the signatures that different sets share: rows with
     lead and node are members of groups; a row without a node names the leader of
     a signature that some chunk has several times, and a row without a lead is a
-    member by such a signature. Of equal sets in a chunk only the smallest doc_id
-    signs."""
+    member by such a signature. Nodes are set hashes; of equal sets in a slice of a
+    chunk one signs."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, owners, held = [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for w in slices(batch.column(1), lower=True):
+            for w in slices(batch.column(0), lower=True):
                 s, first = shingle_sets(w, size)
-                own = ids[w.row : w.row + w.n_texts]
-                _, kept = np.unique(set_hashes(s, first)[order := np.argsort(own, kind="stable")], return_index=True)
+                own = set_hashes(s, first)
                 gone = np.ones(w.n_texts, dtype=bool)
-                gone[order[kept]] = False
+                gone[np.unique(own, return_index=True)[1]] = False
                 n = np.where(gone, 0, np.diff(first))
                 s, first = s[~np.repeat(gone, np.diff(first))], np.concatenate([[0], np.cumsum(n)])
                 sig, owner = signatures(s, first, which)
                 sigs.append(sig)
-                owners.append(own[owner].astype(np.int64))
+                owners.append(own[owner].view(np.int64))
                 held += len(sig)
                 if held >= FLUSH:
                     yield from _flush(np.concatenate(sigs), np.concatenate(owners), n_ranges)
@@ -136,7 +143,7 @@ def shared_signatures(docs: DataFrame, which: list[Band], n_ranges: int, size: i
         columns = {"lead": lead, "node": node, "sig": sig.view(np.int64) if sig is not None else None}
         return pa.table({k: pa.nulls(n, pa.int64()) if v is None else pa.array(v, pa.int64()) for k, v in columns.items()})
 
-    signed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    signed = docs.where("doc_id is not null and text is not null").select("text")
     signed = signed.mapInArrow(sign, "range int, sigs binary, docs binary, many binary")
     return signed.groupBy("range").applyInArrow(releasing(match), "lead long, node long, sig long")
 
@@ -219,57 +226,22 @@ def verified_links(cells: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     return dealt.mapInArrow(verify, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs(doc_id, text, ...)`` → ``(doc_id, n_shingles, component_id)`` per row.
-
-    Texts are lower-cased (A-Z) and cut into words; a text's set is its distinct
-    ``size``-word shingles, or the whole sequence if it has fewer words. Rows link
-    when the sets' Jaccard similarity is at least ``num/den``. ``component_id`` is
-    the smallest doc_id reachable. Null or wordless texts have an empty set and
-    link with nothing; a row with a null doc_id gets its size and a null
-    component. Repeated rows are returned as often as they occur. Other columns
-    are ignored, so clashing names do no harm. An empty table gives no rows.
-    """
-    docs = docs.select("doc_id", "text")
-    _, total = text_bytes(docs, "text")
-    table = stored(set_table(docs, size), "sets")
-    largest = table.agg(F.max("n_shingles")).first()[0] or 0
-    nodes = table.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"))
-    nodes = stored(nodes, "sets-named")  # by itself, so that Spark can split the copies of one set in the join
-    named = stored(table.join(nodes, "set_hash", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "nodes")
-
-    which = bands(int(largest), num, den)
-    copies = stored(named.where("node is not null and doc_id <> node").select("doc_id").distinct(), "copies")
-    n_copies = copies.count()
-    signers = docs.join(F.broadcast(copies) if n_copies <= BROADCAST_KEYS else copies, "doc_id", "left_anti")
-    shared = stored(shared_signatures(signers, which, parts(total, RANGE_BYTES), size), "shared")
+def _groups_and_cells(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The members ``(lead, node)`` of each group, and the same placed in the group's
+    verification cells."""
     leads = shared.where("node is null").select("sig", "lead")
     past = shared.where("lead is null").select("sig", "node").join(leads, "sig").where("lead <> node").select("lead", "node")
     pairs = shared.where("lead is not null and node is not null").select("lead", "node").union(past).distinct()
-    # A group of two is one pair: it goes if their sizes alone rule it out.
-    sizes = named.where("doc_id = node").select("node", F.col("n_shingles").alias("n")).distinct()
     # Groups are counted before the leaders' sizes are joined, so that a leader of
     # very many sets is one row by then.
     counted = pairs.join(sizes, "node").groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.sum("n").alias("total"))
     counted = counted.join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n")), "lead")
+    # A group of two is one pair: it goes if their sizes alone rule it out.
     close = F.lit(den) * F.least("n", "lead_n") >= F.lit(num) * F.greatest("n", "lead_n")
     n_blocks = F.ceil(F.greatest((F.col("size") + 1) / F.lit(CELL), (F.col("total") + F.col("lead_n")) / F.lit(CELL_SHINGLES)))
     counted = counted.where((F.col("size") > 1) | close).select("lead", n_blocks.cast("int").alias("blocks"))
     blocks = stored(counted, "blocks")
     groups = stored(pairs.join(blocks.select("lead"), "lead", "left_semi").union(blocks.select("lead", F.col("lead").alias("node"))), "groups")
-
-    involved = stored(groups.select(F.col("node").alias("doc_id")).distinct(), "involved")
-    first = keep_keys(docs, involved, "doc_id", involved.count())
-
-    def own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in slices(batch.column(1), lower=True):
-                s, at = shingle_sets(w, size)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.row, w.n_texts), pa.array([pack(s[at[i] : at[i + 1]]) for i in range(w.n_texts)], pa.binary())], ["node", "shingles"]
-                )
-
-    sets = first.select(F.col("doc_id").cast("long"), "text").mapInArrow(own_sets, "node long, shingles binary").dropDuplicates(["node"])
     # Block i meets every block j: the cell of (i, j) has side 0 from i and 1 from j.
     placed = groups.join(blocks, "lead").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.select("lead", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -280,7 +252,71 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
         F.greatest("mine", "other").alias("block_b"),
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    links = verified_links(cells.join(sets, "node"), num, den)
-    found = components(links)
-    out = named.join(found, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"))
+    return groups, cells
+
+
+def jaccard_join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``docs(doc_id, text, ...)`` → ``(doc_id, n_shingles, component_id, set_hash,
+    text_component_id)`` per row.
+
+    Texts are lower-cased (A-Z) and cut into words; a text's set is its distinct
+    ``size``-word shingles, or the whole sequence if it has fewer words. Rows link
+    when the sets' Jaccard similarity is at least ``num/den``, and rows of one
+    doc_id are one document, whatever their texts. ``component_id`` is the smallest
+    doc_id reachable; ``text_component_id`` the smallest that is reachable by links
+    between texts alone. Null or wordless texts have an empty set and link with
+    nothing; a row with a null doc_id gets its size and null components. Repeated
+    rows are returned as often as they occur. Other columns are ignored, so
+    clashing names do no harm. An empty table gives no rows.
+    """
+    docs = docs.select("doc_id", "text")
+    _, total = text_bytes(docs, "text")
+    table = stored(set_table(docs, size), "sets")
+    largest = table.agg(F.max("n_shingles")).first()[0] or 0
+    # Rows without a set or an id share one key, so they take no part in the joins.
+    full = table.where("n_shingles > 0 and doc_id is not null")
+    names = stored(full.groupBy(F.col("set_hash").alias("node")).agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")), "names")
+
+    # A document signs unless for each of its sets there is a smaller document.
+    copies = stored(full.select("doc_id").distinct().join(names.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_anti"), "copies")
+    n_copies = copies.count()
+    signers = docs.join(F.broadcast(copies) if n_copies <= BROADCAST_KEYS else copies, "doc_id", "left_anti")
+    shared = stored(shared_signatures(signers, bands(int(largest), num, den), parts(total, RANGE_BYTES), size), "shared")
+    groups, cells = _groups_and_cells(shared, names.select("node", "n"), num, den)
+
+    involved = stored(groups.select("node").distinct().join(names, "node").select(F.col("first").alias("doc_id")).distinct(), "involved")
+    kept = keep_keys(docs, involved, "doc_id", involved.count())
+
+    def own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in slices(batch.column(0), lower=True):
+                s, at = shingle_sets(w, size)
+                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(s, at).view(np.int64)), pa.array([pack(s[at[i] : at[i + 1]]) for i in range(w.n_texts)], pa.binary())], ["node", "shingles"])
+
+    sets = kept.select("text").mapInArrow(own_sets, "node long, shingles binary").dropDuplicates(["node"])
+    found = components(verified_links(cells.join(sets, "node"), num, den))
+    least = found.join(names, "node").groupBy("component").agg(F.min("first").alias("least"))
+    by_text = names.join(found, "node", "left").join(least, "component", "left")
+    by_text = stored(by_text.select(F.col("node").alias("set_hash"), F.coalesce("least", "first").alias("text_component_id")), "by-text")
+
+    named = stored(full.join(by_text, "set_hash"), "named")
+    return _by_document(named, table.where("n_shingles = 0 or doc_id is null"))
+
+
+def _by_document(named: DataFrame, rest: DataFrame) -> DataFrame:
+    """Components of texts whose documents have several of them become one; rows
+    without a set go with their document's other rows, if it has any."""
+    columns = ["doc_id", "n_shingles", "component_id", "set_hash", "text_component_id"]
+    several = named.groupBy("doc_id").agg(F.min("text_component_id").alias("a"), F.max("text_component_id").alias("z")).where("a < z")
+    several = stored(several.select("doc_id", "a"), "several")
+    if several.isEmpty():
+        out = named.withColumn("component_id", F.col("text_component_id"))
+    else:
+        joined = stored(components(named.join(several, "doc_id").select("a", F.col("text_component_id").alias("b"))), "joined")
+        out = named.join(joined.select(F.col("node").alias("text_component_id"), "component"), "text_component_id", "left")
+        out = out.withColumn("component_id", F.coalesce("component", "text_component_id"))
+    unnamed = rest.where("doc_id is null").withColumns({"component_id": F.lit(None).cast("long"), "text_component_id": F.lit(None).cast("long")})
+    empty = rest.where("doc_id is not null")
+    others = out.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    empty = empty.join(others, "doc_id", "left").withColumns({"component_id": F.coalesce("component_id", "doc_id"), "text_component_id": F.col("doc_id")})
+    return out.select(columns).unionAll(empty.select(columns)).unionAll(unnamed.select(columns))

@@ -1,6 +1,8 @@
 import hashlib
+import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from corpusguard.llm.quality import learn_quality, quality_rules
@@ -65,3 +67,33 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(str(tuple(r)) for r in whole) == sorted(str(r) for r in after)
+
+
+def test_texts_of_repeated_ids_stay(spark):
+    """A doc_id with two texts loses the one that a smaller document has, and no other."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    data = [(1, a), (5, a), (5, b), (7, b + " more"), (8, c), (8, c), (9, a), (None, a), (10, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == COLUMNS
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, a), (5, b), (8, c), (8, c), (None, a), (10, ""), (5, None)]))
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_empty_tables(spark, tmp_path, empty):
+    rng = random.Random(1)
+    data = [(i, " ".join(rng.choice("abcdefghijklmnop") * 4 for _ in range(60)), "en", "s", 240) for i in range(40)]
+    tables = {
+        "documents": (data, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": ([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([(1, data[3][1])], "item_id long, text string"),
+    }
+    for name, (given, schema) in tables.items():
+        spark.createDataFrame([] if name == empty else given, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if empty == "documents":
+        assert got == []
+    elif empty == "labels":  # nothing to learn from: the rules alone decide
+        assert {r.doc_id for r in got} == {i for i in range(40) if i != 3}
+    else:
+        assert got
