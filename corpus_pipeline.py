@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm.bpe import bpe_encode
+from corpusguard.llm.bpe import bpe_decode, bpe_encode
 from corpusguard.llm.decontaminate import clean_documents
-from corpusguard.llm.jaccard_join import jaccard_join
+from corpusguard.llm.jaccard_join import jaccard_join, set_table
 from corpusguard.llm.quality import learn_quality, quality_rules
 from corpusguard.llm.queries import byte_bpe
 from corpusguard.llm.store import BROADCAST_KEYS, stored
@@ -28,9 +28,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    gone = stored(jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked texts those of the smallest doc_id stay. A doc_id
+    that repeats with other texts loses only the texts that a smaller one has."""
+    linked = stored(jaccard_join(docs).where("set_hash is not null and text_component_id is not null"), "linked")
+    goes = F.col("doc_id") != F.col("text_component_id")
+    by_id = stored(linked.groupBy("doc_id").agg(F.max(goes).alias("some"), F.min(goes).alias("every")).where("some"), "gone")
+    gone, mixed = by_id.where("every").select("doc_id"), by_id.where("not every").select("doc_id")
+    small, n_mixed = gone.count() <= BROADCAST_KEYS, mixed.count()
+    left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    if not n_mixed:
+        return left.select(*docs.columns)
+    mixed = F.broadcast(mixed) if n_mixed <= BROADCAST_KEYS else mixed
+    parts = set_table(left.join(mixed, "doc_id", "left_semi"), carry=docs.columns)
+    parts = parts.join(linked.where(goes).select("doc_id", "set_hash").distinct(), ["doc_id", "set_hash"], "left_anti")
+    return left.join(mixed, "doc_id", "left_anti").select(*docs.columns).unionAll(parts.select(*[F.col("given")[c].alias(c) for c in docs.columns]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +60,10 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text (little-endian 32-bit), and digests of the ids and of
-    the text that they decode to."""
-    out = bpe_encode(docs, byte_bpe(), carry=["lang", "source"], decode=True)
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Token ids of each text, and digests of the ids (as little-endian 32-bit
+    integers) and of the text that they decode to."""
+    out = bpe_decode(bpe_encode(docs, byte_bpe(), carry=["lang", "source"]), byte_bpe())
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
