@@ -1,27 +1,32 @@
 """Main text of web pages by a site style tree.
 
 The DOMs of a host's pages are merged by path: a branch of the tree is the list of
-labels (tag, classes) from the root, whatever the page. For each branch that may
-be a part of a layout, the tree holds how many pages have it, and the
-distributions of its presentation (the labels inside it) and of its content (the
-text inside it) over those pages. The importance of a branch is the mean, weighted
-by ``CONTENT``, of the two distributions' entropies, each divided by its largest
-possible value: what stands alike on all pages of a host has none, what differs
-from page to page has much. Labels that say what a branch is (navigation, footer,
-advert, comments, ...) have no importance whatever their entropy.
-
-From each page the branches of low importance go. Of what is left, the articles
-are the main text; without one, the main element; without that, the whole body.
-Main elements, and plain text elements such as paragraphs, are never judged by
-entropy: copies of an article on one host do not make it a part of the layout.
+labels (tag, classes) from the root, whatever the page. Every element of every page
+is in the tree, and so is text that stands beside elements. For each branch the tree
+holds the distributions of its presentation (the labels inside it) and of its
+content (the text inside it) over the host's pages; their entropies, each divided by
+its largest possible value and weighted by ``CONTENT``, say how much the branch
+differs from page to page. Where a host has few pages, its entropies are drawn
+towards those of the same branch over all hosts (``SHRINK`` pages' worth), and these
+towards a half, so the rule is the same for hosts of every size.
+
+Importance is a posterior: prior odds by what labels say (``ODDS``), times the odds
+of the entropy. A branch named as navigation, footer or advert, and one that stands
+beside the page's article, is unlikely to be main text whatever its entropy; an
+article is so whatever its entropy; a plain block is what its entropy says. Branches
+below ``THRESHOLD`` are removed from each page, and the rest is its main text:
+nothing but the tree removes anything that has text. Pages with an article, with a
+main element, and with neither are different templates, so different branches.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -31,11 +36,19 @@ from pyspark.sql import functions as F
 from corpusguard.llm.store import BROADCAST_KEYS, stored
 from corpusguard.llm.url_filter import host_and_path
 
-#: Pages that must have a branch before its entropies count.
-LEAST_PAGES = 8
 #: Branches of less importance are removed.
 THRESHOLD = 0.3
 CONTENT = 0.8
+#: Pages that the entropies of the same branch elsewhere count as.
+SHRINK = 8
+#: An entropy's odds are at most this, and at least its inverse.
+MOST_ODDS = 19.0
+#: Prior odds of being main text: of branches that labels call noise or that stand
+#: beside the article; of blocks; of blocks in the article; of elements that hold
+#: text; and of the article and what is around it.
+ODDS = {"noise": 0.01, "block": 1.0, "inner": 2.0, "text": 20.0, "article": 1e6}
+#: Distinct counts that a task holds before it sends them on.
+FLUSH = 200_000
 
 #: What names of elements and words in their classes say.
 NOISE_TAGS = frozenset(
@@ -107,7 +120,7 @@ class Paths:
         hidden = "hidden" in said or said.get("aria-hidden") == "true"
         noise = tag in NOISE_TAGS or role in NOISE_ROLES or hidden or (bool(NOISE_WORDS & words) and tag not in ("body", "html") and not body)
         outer = tag in OUTER_TAGS or bool(OUTER_WORDS & words)
-        name = _DIGITS.sub("#", ".".join([tag, *sorted(names)]))
+        name = _DIGITS.sub("#", ".".join([tag, *sorted(names), *([f"@{role}"] if role else []), *(["@hidden"] if hidden else [])]))
         found = name, noise, outer, kind, kind == "" and (tag not in TEXT_TAGS or (bool(names) and tag not in ("body", "html")))
         if len(self.said) > 50_000:
             self.said.clear()
@@ -203,73 +216,160 @@ def parse(page: str, paths: Paths) -> tuple[list[Node], list[tuple[str, Node | N
     return nodes, chunks, labels
 
 
-def branches(page: str, paths: Paths) -> dict[int, tuple[int, int]]:
-    """For each branch of a page that entropy may judge, hashes of what it shows
-    and of its text; a path that occurs several times adds them up."""
-    nodes, chunks, labels = parse(page, paths)
-    out: dict[int, tuple[int, int]] = {}
-    for node in nodes:
-        if node.judged and not node.noise:
-            text = " ".join("".join(c for c, _ in chunks[node.chunk : node.chunk_end]).split())
-            shown = xxhash.xxh64_intdigest("/".join(labels[node.labels : node.labels_end]))
-            a, b = out.get(node.path, (0, 0))
-            out[node.path] = (a + shown) & (1 << 63) - 1, (b + xxhash.xxh64_intdigest(text)) & (1 << 63) - 1
-    return out
-
-
-def main_text(page: str, unimportant: frozenset[int] | set[int], paths: Paths) -> str:
-    """Text of the page's articles, else of its main element, else of its body,
-    without branches that are noise or whose path is ``unimportant``."""
-    nodes, chunks, _ = parse(page, paths)
-    stop, gone = 0, 0
-    dropped = bytearray(len(chunks))
-    left: list[Node] = []  # no branch that goes is around these; labels nest as nodes do, chunks of inline ones may coincide
-    for node in nodes:
-        if node.noise or (node.judged and node.path in unimportant):
-            gone = max(gone, node.labels_end)
-            if node.chunk_end > max(stop, node.chunk):
-                dropped[node.chunk : node.chunk_end] = b"\x01" * (node.chunk_end - node.chunk)
+_PRIME = (1 << 61) - 1
+_BASE = 0x1E3779B97F4A7C15
+
+
+class Runs:
+    """Hashes of runs of a sequence of hashes, each in constant time."""
+
+    def __init__(self, values: list[int]):
+        self.sums = list(accumulate(values, lambda total, x: (total * _BASE + x) % _PRIME, initial=1))
+        self.powers = list(accumulate(values, lambda power, _: power * _BASE % _PRIME, initial=1))
+
+    def of(self, a: int, b: int) -> int:
+        return (self.sums[b] - self.sums[a] * self.powers[b - a]) % _PRIME
+
+
+class Page:
+    """A page's branches: for each node, and each chunk of text that stands beside
+    elements, the branch it belongs to and its prior odds."""
+
+    def __init__(self, page: str, paths: Paths):
+        self.nodes, self.chunks, self.labels = parse(page, paths)
+        self.words = [c.split() for c, _ in self.chunks]
+        template, found = self._regions()
+        regions, starts = [(n.chunk, n.chunk_end) for n in found], [n.chunk for n in found]
+        below = [n.labels for n in found]
+
+        def beside(a: int, b: int) -> bool:
+            """Does ``[a, b)`` hold no region and lie in none?"""
+            if not regions:
+                return False
+            i = bisect_right(starts, a) - 1
+            inside = i >= 0 and a < regions[i][1]
+            return not inside and not (i + 1 < len(regions) and regions[i + 1][0] < b)
+
+        self.keys, self.priors = [], []
+        for node in self.nodes:
+            around = bisect_right(below, node.labels) < bisect_right(below, node.labels_end - 1)
+            if node.noise or (beside(node.chunk, node.chunk_end) and node.tag not in ("html", "body")):
+                odds = "noise"
+            elif node.kind or node.tag in ("html", "body") or around:
+                odds = "article"
+            elif node.judged:
+                odds = "inner" if node.inside else "block"
+            else:
+                odds = "text"
+            self.keys.append(node.path ^ template)
+            self.priors.append(odds)
+        self.loose: dict[int, tuple[int, str]] = {}  # chunks of text that are branches of their own
+        for i, (_, parent) in enumerate(self.chunks):
+            if self.words[i] and (parent is None or not (parent.noise or parent.tag in TEXT_TAGS - {"html", "body"})):
+                path = paths.path(parent.path if parent else 0, "#text") ^ template
+                self.loose[i] = path, "noise" if beside(i, i + 1) else "text"
+
+    def _regions(self) -> tuple[int, list[Node]]:
+        """The template's number, and its articles or main elements, of nested ones the outer."""
+        quiet, stop = bytearray(len(self.chunks)), 0
+        for node in self.nodes:
+            if node.noise and node.chunk_end > max(stop, node.chunk):
+                begin = max(stop, node.chunk)
+                quiet[begin : node.chunk_end] = b"\x01" * (node.chunk_end - begin)
                 stop = node.chunk_end
-        elif node.kind and node.labels >= gone:
-            left.append(node)
-    for kind in ("article", "main"):
-        spans = [(n.chunk, n.chunk_end) for n in left if n.kind == kind and n.chunk_end > n.chunk]
-        spans = [s for s in spans if any(not dropped[i] and chunks[i][0].strip() for i in range(*s))]
-        if spans:
-            break
-    else:
-        spans = [(0, len(chunks))]
-    taken, out = 0, []
-    for a, b in spans:
-        out += [chunks[i][0] if not dropped[i] else " " for i in range(max(a, taken), b)]
-        out.append(" ")
-        taken = max(taken, b)
-    return " ".join("".join(out).split())
+        loud = list(accumulate((bool(w) and not q for w, q in zip(self.words, quiet, strict=True)), initial=0))
+        for number, kind in ((1, "article"), (2, "main")):
+            found, end = [], 0
+            for n in self.nodes:  # in document order, so one inside another comes later
+                if n.kind == kind and not n.noise and n.chunk_end > end and loud[n.chunk_end] > loud[n.chunk]:
+                    found.append(n)
+                    end = n.chunk_end
+            if found:
+                return number, found
+        return 0, []
+
+    def branches(self) -> dict[int, tuple[int, int, float]]:
+        """For each branch hashes of what it shows and of its text, and its prior
+        odds. A path that occurs several times adds its hashes up and has the
+        largest odds."""
+        at = list(accumulate(map(bool, self.words), initial=0))
+        text = Runs([xxhash.xxh64_intdigest(" ".join(w)) for w in self.words if w])
+        shown = Runs([xxhash.xxh64_intdigest(x) for x in self.labels])
+        found = [(k, shown.of(n.labels, n.labels_end), text.of(at[n.chunk], at[n.chunk_end]), o) for n, k, o in zip(self.nodes, self.keys, self.priors, strict=True)]
+        found += [(k, 0, text.of(at[i], at[i] + 1), o) for i, (k, o) in self.loose.items()]
+        out: dict[int, tuple[int, int, float]] = {}
+        for key, a, b, odds in found:
+            x, y, z = out.get(key, (0, 0, 0.0))
+            out[key] = (x + a) % _PRIME, (y + b) % _PRIME, max(z, ODDS[odds])
+        return out
+
+    def main_text(self, low: frozenset[int] | set[int]) -> str:
+        """The page's text without the branches of low importance."""
+        dropped, stop = bytearray(len(self.chunks)), 0
+        for node, key in zip(self.nodes, self.keys, strict=True):
+            if key in low and node.chunk_end > max(stop, node.chunk):
+                begin = max(stop, node.chunk)
+                dropped[begin : node.chunk_end] = b"\x01" * (node.chunk_end - begin)
+                stop = node.chunk_end
+        for i, (key, _) in self.loose.items():
+            if key in low:
+                dropped[i] = 1
+        return " ".join("".join(c if not gone else " " for (c, _), gone in zip(self.chunks, dropped, strict=True)).split())
+
+
+def importance(entropy: float, odds: float) -> float:
+    """The posterior of being main text; ``style_tree`` has the same as a column."""
+    evidence = min(max(entropy / max(1 - entropy, 1e-9), 1 / MOST_ODDS), MOST_ODDS)
+    return odds * evidence / (1 + odds * evidence)
+
+
+def low_by_labels(page: str, paths: Paths) -> set[int]:
+    """Branches that are removed from a page of which no entropy is known."""
+    return {key for key, (_, _, odds) in Page(page, paths).branches().items() if importance(0.5, odds) < THRESHOLD}
+
+
+def main_text(page: str, low: frozenset[int] | set[int], paths: Paths) -> str:
+    return Page(page, paths).main_text(low)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``pages(host, html)`` → ``(host, path, pages, importance)``. Counts are
-    summed in tasks before they are shuffled, and no host's pages come together."""
+    """``pages(site, html)`` → ``(site, path, importance)``, ``site`` a hash of the
+    host. Counts are summed in tasks before they are shuffled, and no host's pages
+    come together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = Paths()
+        paths, seen = Paths(), Counter()
+
+        def sent() -> pa.RecordBatch:
+            columns = [*zip(*seen, strict=True), list(seen.values())]
+            seen.clear()
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["site", "path", "kind", "value", "odds", "n"])
+
         for batch in batches:
-            seen: Counter = Counter()
-            for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for path, values in branches(page or "", paths).items():
-                    for kind, value in enumerate(values):
-                        seen[host, path, kind, value] += 1
-            if seen:
-                rows = list(zip(*seen, strict=True))
-                types = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(rows, types, strict=True)), pa.array(list(seen.values()), pa.int64())], ["host", "path", "kind", "value", "n"])
-
-    counted = pages.select("host", "html").mapInArrow(count, "host string, path long, kind int, value long, n long")
-    values = counted.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
-    entropy = F.when(F.sum("n") > 1, (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")) / F.log(F.sum("n"))).otherwise(1.0)
-    kinds = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), entropy.alias("entropy"))
+            for site, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for path, (shown, text, odds) in (Page(page, paths).branches() if page else {}).items():
+                    seen[site, path, 0, shown, odds] += 1
+                    seen[site, path, 1, text, odds] += 1
+                if len(seen) >= FLUSH:
+                    yield sent()
+        if seen:
+            yield sent()
+
+    counted = pages.select("site", "html").mapInArrow(count, "site long, path long, kind int, value long, odds double, n long")
+    values = counted.groupBy("site", "path", "kind", "value").agg(F.sum("n").alias("n"), F.max("odds").alias("odds"))
+    pages_of, spread = F.sum("n"), F.sum(F.col("n") * F.log("n"))
+    entropy = F.when(pages_of > 1, (F.log(pages_of) - spread / pages_of) / F.log(pages_of)).otherwise(0.5)
+    here = values.groupBy("site", "path", "kind").agg(pages_of.alias("m"), entropy.alias("entropy"), F.max("odds").alias("odds"))
+    every = values.groupBy("path", "kind", "value").agg(F.sum("n").alias("n")).groupBy("path", "kind").agg(pages_of.alias("m_all"), entropy.alias("all"))
+    # A page by itself says nothing of what its host repeats.
+    n_all, n = F.col("m_all") - 1, F.col("m") - 1
+    both = here.join(every, ["path", "kind"]).withColumn("all", (n_all * F.col("all") + SHRINK * 0.5) / (n_all + SHRINK))
     weight = F.when(F.col("kind") == 1, CONTENT).otherwise(1 - CONTENT)
-    return kinds.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.sum(weight * F.col("entropy")).alias("importance"))
+    mean = F.sum(weight * (n * F.col("entropy") + SHRINK * F.col("all")) / (n + SHRINK))
+    tree = both.groupBy("site", "path").agg(mean.alias("entropy"), F.max("odds").alias("odds"))
+    evidence = F.least(F.greatest(F.col("entropy") / F.greatest(1 - F.col("entropy"), F.lit(1e-9)), F.lit(1 / MOST_ODDS)), F.lit(MOST_ODDS))
+    return tree.select("site", "path", (F.col("odds") * evidence / (1 + F.col("odds") * evidence)).alias("importance"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -280,17 +380,22 @@ def extract_text(pages: DataFrame) -> DataFrame:
     without a host, belongs to the host ''. Rows repeat as given, and other
     columns are ignored; an empty table gives no rows.
     """
-    rows = pages.select("page_id", "url", host_and_path(F.col("url"))[0].alias("host"), "html")
-    tree = style_tree(rows)
-    low = stored(tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD)).select("host", "path"), "low")
-    by_host = low.groupBy("host").agg(F.collect_list("path").alias("low"))
-    by_host = F.broadcast(by_host) if low.count() <= BROADCAST_KEYS else by_host
-    rows = rows.join(by_host, "host", "left").select("page_id", "url", "html", "low")
+    rows = pages.select("page_id", "url", F.xxhash64(host_and_path(F.col("url"))[0]).alias("site"), "html")
+    low = stored(style_tree(rows).where(F.col("importance") < THRESHOLD).select("site", "path"), "low")
+    # One string for a host's branches: equal strings are read once for a batch.
+    by_site = low.groupBy("site").agg(F.concat_ws(" ", F.array_sort(F.collect_list(F.hex("path")))).alias("low"))
+    by_site = F.broadcast(by_site) if low.count() <= BROADCAST_KEYS // 4 else by_site
+    rows = rows.join(by_site, "site", "left").select("page_id", "url", "html", "low")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = Paths()
         for batch in batches:
-            out = [main_text(page, set(low or ()), paths) if page else "" for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            coded = batch.column(3).dictionary_encode()
+            lists = [frozenset(int(x, 16) for x in each.split()) for each in coded.dictionary.to_pylist()]
+            out = [
+                Page(page, paths).main_text(lists[number] if number is not None else frozenset()) if page else ""
+                for page, number in zip(batch.column(2).to_pylist(), coded.indices.to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(extract, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusguard.llm import html_extract as module
-from corpusguard.llm.html_extract import Paths, extract_text, main_text
+from corpusguard.llm.html_extract import Page, Paths, extract_text, importance, low_by_labels, main_text
 
 SCHEMA = "page_id long, url string, html string, host string, low int, path int"
 
@@ -30,9 +31,15 @@ CASES = [
 ]
 
 
+def by_labels(page):
+    """The text of a page of which only the labels are known."""
+    paths = Paths()
+    return main_text(page, low_by_labels(page, paths), paths)
+
+
 @pytest.mark.parametrize(("page", "text"), CASES)
 def test_one_page(page, text):
-    assert main_text(page or "", frozenset(), Paths()) == text
+    assert by_labels(page or "") == text
 
 
 def test_rows(spark):
@@ -62,35 +69,82 @@ def test_what_a_site_repeats_goes(spark, limit, monkeypatch):
             page = f"<body><div class=x1><div>Home Shop</div></div><div class=x2><p>{body}</p><section>Read more on our site</section></div><div class=x3>all rights</div>"
             expected[i] = body
             data.append((i, f"http://one.example/{i}", page, "x", 1, 1))
-        else:  # many hosts with a page each: nothing repeats
-            page = f"<body><div class=x1>{body}</div><div class=x3>all rights</div>"
-            expected[i] = f"{body} all rights"
+        else:  # many hosts with a page each: what they have in common shows over all hosts
+            page = f"<body><div class=x1>{body}</div><div class=x3>all rights</div><div class=y{i}>by {i}</div>"
+            expected[i] = f"{body} by {i}"
             data.append((i, f"http://h{i}.example/", page, "x", 1, 1))
     got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(data, SCHEMA)).collect()}
     assert got == expected
 
 
-def test_against_the_article_of_plain_pages(spark):
-    """Pages whose one article is marked: brute force by cutting it out."""
+def cut_out(pages):
+    """Brute force for pages whose one article is marked: cutting it out."""
     import html
     import re
 
+    inner = {r.page_id: re.search(r"<article>(.*)</article>", r.html, re.S)[1] for r in pages.collect()}
+    return {i: " ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for i, x in inner.items()}
+
+
+def test_against_the_article_of_plain_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    want = {}
-    for r in pages.collect():
-        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
-        want[r.page_id] = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", inner)).split())
-    assert {r.page_id: r.text for r in extract_text(pages).collect()} == want
+    assert {r.page_id: r.text for r in extract_text(pages).collect()} == cut_out(pages)
+
+
+def test_the_tree_does_the_work(spark, monkeypatch):
+    """With an emptied tree the same pages keep their menus, adverts and footers."""
+    pages, whole = spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), module.style_tree
+    tree = whole(pages.select(F.xxhash64(module.host_and_path(F.col("url"))[0]).alias("site"), "html"))
+    assert tree.where(f"importance < {module.THRESHOLD}").count() > 0 and tree.where("importance > 0.9").count() > 0
+    monkeypatch.setattr(module, "style_tree", lambda rows: whole(rows).where("false"))
+    got, want = {r.page_id: r.text for r in extract_text(pages).collect()}, cut_out(pages)
+    assert all(len(got[i]) > len(want[i]) and want[i] in got[i] for i in want)
+
+
+def test_importances_against_plain_entropies(spark):
+    """The tree's numbers, from the pages' branches by plain counting."""
+    import math
+    from collections import defaultdict
+
+    rng = random.Random(4)
+    data = []
+    for i in range(50):
+        parts = [f"<div class=a>{rng.choice('xyz')}</div>", f"<p>{rng.random()}", "<div class=ad>buy</div>", f"<section>{'<i>k</i>' * rng.randrange(3)}</section>"]
+        data.append((i, f"http://h{i % 3 if i % 7 else i}/", "".join(rng.sample(parts, rng.randrange(1, 5))), "x", 1, 1))
+    paths, here, every, odds = Paths(), defaultdict(list), defaultdict(list), defaultdict(float)
+    for _, url, page, *_ in data:
+        for path, (shown, text, prior) in Page(page, paths).branches().items():
+            for kind, value in enumerate((shown, text)):
+                here[url, path, kind].append(value)
+                every[path, kind].append(value)
+            odds[url, path] = max(odds[url, path], prior)
+
+    def entropy(values):
+        m = len(values)
+        return -sum(values.count(v) / m * math.log(values.count(v) / m) for v in set(values)) / math.log(m) if m > 1 else 0.5
+
+    want = []
+    for url, path in odds:
+        mean = 0.0
+        for kind, weight in ((0, 1 - module.CONTENT), (1, module.CONTENT)):
+            n, n_all = len(here[url, path, kind]) - 1, len(every[path, kind]) - 1
+            around = (n_all * entropy(every[path, kind]) + module.SHRINK / 2) / (n_all + module.SHRINK)
+            mean += weight * (n * entropy(here[url, path, kind]) + module.SHRINK * around) / (n + module.SHRINK)
+        want.append((path, round(importance(mean, odds[url, path]), 9)))
+    frame = spark.createDataFrame(data, SCHEMA)
+    got = module.style_tree(frame.select(F.xxhash64("url").alias("site"), "html")).collect()
+    assert sorted((r.path, round(r.importance, 9)) for r in got) == sorted(want)
 
 
 def test_an_article_may_open_with_inline_noise():
     one = "<article><a class=share>Share</a><p>first text</p></article>"
-    assert main_text(f"<body><p>outside</p>{one}</body>", set(), Paths()) == "first text"
-    assert main_text(f"<body>{one}<p>outside</p><article><p>second text</p></article></body>", set(), Paths()) == "first text second text"
+    assert by_labels(f"<body><p>outside</p>{one}</body>") == "first text"
+    assert by_labels(f"<body>{one}<p>outside</p><article><p>second text</p></article></body>") == "first text second text"
     # The same with an inline branch that is alike on all pages of a host.
     page = "<body><p>outside</p><article><span class=kicker>Daily</span><p>first text</p></article></body>"
     paths = Paths()
-    kicker = next(n.path for n in module.parse(page, paths)[0] if n.tag == "span")
-    assert main_text(page, {kicker}, paths) == "first text"
+    parsed = Page(page, paths)
+    kicker = next(k for n, k in zip(parsed.nodes, parsed.keys, strict=True) if n.tag == "span")
+    assert main_text(page, {kicker} | low_by_labels(page, paths), paths) == "first text"
     # An article inside noise, inline or not, still goes.
-    assert main_text("<body><div class=ads><article>spam</article></div><article>text</article></body>", set(), Paths()) == "text"
+    assert by_labels("<body><div class=ads><article>spam</article></div><article>text</article></body>") == "text"
