@@ -169,14 +169,24 @@ def add(archive, name, data):
 
 
 def test_sources(spark, tmp_path):
-    source.register(spark)
-
     def read(kind, path, **options):
-        frame = spark.read.format("mail_archive").options(kind=kind, path=str(path), source="s", label="ham", **options).load()
+        frame = source.read(spark, kind, str(path), "s", "ham", **options)
+        assert {(r.source, r.label) for r in frame.select("source", "label").collect()} <= {("s", "ham")}
         return sorted((r.source_id, bytes(r.raw)) for r in frame.collect())
 
     (tmp_path / "box").write_bytes(b"From a\n\none\n\nFrom b\n\n" + b"x" * 300_000 + b"\n\nFrom c\n\nthree\n")
     assert [i for i, _ in read("mbox", tmp_path / "box")] == ["0", "2"]
+    assert read("mbox", tmp_path / "box")[1][1] == b"\nthree\n"
+    many = [f"Subject: {i}\n\nbody {i}\nFrom within\n" if i % 3 else f"x{i}" for i in range(40)]
+    (tmp_path / "many").write_bytes(b"before\n" + "\n".join(f"From a {i}\n{m}" for i, m in enumerate(many)).encode())
+    import mailbox
+
+    box = mailbox.mbox(tmp_path / "many")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1m", "97"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert read("mbox", tmp_path / "many") == sorted((str(k), box.get_bytes(k)) for k in box.keys())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     (tmp_path / "pot" / "d").mkdir(parents=True)
     (tmp_path / "pot" / "d" / "a.eml").write_bytes(b"x")
     (tmp_path / "pot" / "b.eml").write_bytes(b"y" * 300_000)
@@ -197,8 +207,8 @@ def test_sources(spark, tmp_path):
     text = b"sender,subject,body,label\na@b,\"x\ny\",hello,0\nc@d,z,spam,1\n"
     (tmp_path / "c.csv").write_bytes(text)
     digest = hashlib.sha256(text).hexdigest()
-    got = read("csv", tmp_path / "c.csv", sha256=digest, ham_count="1")
+    got = read("csv", tmp_path / "c.csv", sha256=digest, ham_count=1)
     assert [i for i, _ in got] == ["1"] and message(got[0][1])["subject"] == "x y"
-    for options in ({"sha256": "0", "ham_count": "1"}, {"sha256": digest, "ham_count": "2"}):
+    for options in ({"sha256": "0", "ham_count": 1}, {"sha256": digest, "ham_count": 2}):
         with pytest.raises(Exception, match="CSV"):
             read("csv", tmp_path / "c.csv", **options)
