@@ -80,3 +80,15 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))
     return counts.join(F.broadcast(total)).select("label", "n", (F.col("rows") / (F.col("classes") * F.col("n"))).alias("weight"))
+
+
+def totals(df: DataFrame, cost: Column, failed: Column) -> DataFrame:
+    """One row: summed cost, a missing one as 0; the largest cost of rows that did not
+    fail, missing ones passed over; and the number of failures."""
+    bad = F.coalesce(failed, F.lit(False))
+    return df.agg(F.coalesce(F.sum(F.coalesce(cost, F.lit(0.0))), F.lit(0.0)).alias("cost"), F.max(F.when(~bad, cost)).alias("slowest"), F.count_if(bad).alias("failed"))
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Doubles rounded half up, nulls kept."""
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.functions.fingerprints import bands, near
+from corpusguard.operators.graph import components
 from corpusguard.tables import stored
 
 # Sources by split, and the size under which the test split grows.
@@ -40,22 +41,6 @@ def year_of(source: Column) -> Column:
     )
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` of an undirected graph: smallest node, by label spreading
-    with pointer jumping over written tables."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), F.col("c").alias("component")), "labels")
-    while True:
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        nearer = labels.join(around, labels["node"] == around["a"]).select("node", F.least("component", "m").alias("component"))
-        jumped = nearer.alias("x").join(nearer.select(F.col("node").alias("n2"), F.col("component").alias("c2")), F.col("x.component") == F.col("n2"), "left")
-        grown = stored(jumped.select(F.col("x.node").alias("node"), F.least("x.component", F.coalesce("c2", "x.component")).alias("component")), "labels")
-        before, after = (t.agg(F.sum(F.hash("node", "component").cast("long"))).first()[0] for t in (labels, grown))
-        if before == after:
-            return grown
-        labels = grown
-
-
 def clusters(messages: DataFrame) -> DataFrame:
     """Adds ``cluster`` to rows with ``(id, simhash, source, source_id, label)``:
     equal ids are together, and so are simhashes that differ in at most 3 bits.
@@ -71,7 +56,7 @@ def clusters(messages: DataFrame) -> DataFrame:
     ahead = left.select("simhash", "at", F.explode(F.sequence(F.col("ones"), F.col("ones") + 3)).alias("ones"))
     pairs = ahead.join(left.select(F.col("simhash").alias("other"), "at", "ones"), ["at", "ones"])
     edges = pairs.where((F.col("simhash") != F.col("other")) & near(F.col("simhash"), F.col("other")))
-    found = _labels(edges.select(F.col("simhash").alias("a"), F.col("other").alias("b")).distinct())
+    found = components(edges.select(F.col("simhash").alias("a"), F.col("other").alias("b")).distinct())
     out = messages.join(found, messages["simhash"] == found["node"], "left")
     return out.select(*messages.columns, F.coalesce("component", "simhash").alias("cluster"))
 
@@ -96,9 +81,10 @@ def exclusions(clustered: DataFrame) -> DataFrame:
     return sizes.select(reason.alias("reason"), lost.alias("n")).where("n > 0").groupBy("reason").agg(F.sum("n").alias("n"))
 
 
-def prepare(messages: DataFrame, small_test: int = SMALL_TEST) -> tuple[DataFrame, str]:
-    """Splits messages; returns the kept rows and the name of the policy. With a
-    small test split, and the source at hand, one source moves from training to test."""
+def prepare(messages: DataFrame, small_test: int = SMALL_TEST) -> tuple[DataFrame, str, DataFrame]:
+    """Splits messages; returns the kept rows, the name of the policy, and the
+    clustered rows. With a small test split, and the source at hand, one source
+    moves from training to test."""
     has = messages.agg(
         F.count_if(F.startswith("source", F.lit("trec"))), F.count_if(F.startswith("source", F.lit("spamassassin-"))), F.count_if(F.col("source") == "trec07")
     ).first()
@@ -106,8 +92,8 @@ def prepare(messages: DataFrame, small_test: int = SMALL_TEST) -> tuple[DataFram
     clustered = stored(clusters(messages), "clusters")
     kept = choose_unique(clustered, False, only)
     if has[2] and kept.where("split = 'test'").count() < small_test:
-        return choose_unique(clustered, True, only), "trec07_in_test"
-    return kept, "spamassassin_only" if only else "trec07_in_train"
+        return choose_unique(clustered, True, only), "trec07_in_test", clustered
+    return kept, "spamassassin_only" if only else "trec07_in_train", clustered
 
 
 def kept_order(kept: DataFrame) -> DataFrame:

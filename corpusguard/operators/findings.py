@@ -143,3 +143,48 @@ def out_of_place(rows: DataFrame, frozen: DataFrame, position: str = "position",
     lacks; no rows if they agree."""
     a, b = rows.select(position, F.col(key).alias("found")), frozen.select(position, F.col(key).alias("expected"))
     return a.join(b, position, "full").where(~F.col("found").eqNullSafe(F.col("expected")))
+
+
+def with_counts(df: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """``df`` with the numbers that ``counts`` has for its key, 0 for keys without any."""
+    numbers = [c for c in counts.columns if c != key]
+    return df.join(counts, key, "left").select(*df.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
+
+
+def pending(rows: DataFrame, results: DataFrame, key: str, failed: Column | None = None) -> DataFrame:
+    """Rows without a result; a result that ``failed`` holds for is none."""
+    good = results if failed is None else results.where(~F.coalesce(failed, F.lit(False)))
+    return rows.join(good.select(key).distinct(), key, "left_anti")
+
+
+def orphans(results: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
+    """Results whose keys the corpus does not have; nulls equal nulls."""
+    a, b = results.alias("a"), corpus.select(*keys).distinct().alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    condition = same[0]
+    for one in same[1:]:
+        condition = condition & one
+    return a.join(b, condition, "left_anti").select(*results.columns)
+
+
+def require_no_orphans(results: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
+    """The results, if the corpus has the keys of all of them; else an error that names one."""
+    if lost := orphans(results, corpus, keys).select(*keys).limit(1).collect():
+        raise ValueError(f"a saved result is not in the corpus: {lost[0].asDict()}")
+    return results
+
+
+def first_source_wins(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """``(id, ...)``: of the rows of a key the first by ``order``; a null key has none."""
+    rest = [c for c in df.columns if c not in order]
+    best = df.where(key.isNotNull()).groupBy(key.alias("id")).agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("first"))
+    return best.select("id", *[F.col("first")[c].alias(c) for c in (*order, *rest)])
+
+
+def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows that the seed chooses, whatever the order of the table: the first by
+    a digest of seed and key. Too few rows are an error. A top-k plan."""
+    chosen = page(df.withColumn("_rank", F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)), [F.asc("_rank"), F.asc(key)], limit=n)
+    if (found := chosen.count()) < n:
+        raise ValueError(f"a sample of {n} was asked of {found} rows")
+    return chosen.drop("_rank")

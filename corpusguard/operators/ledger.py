@@ -13,9 +13,11 @@ ruleset_version, epoch, retry, started_at, finished_at, reason.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusguard.tables import stored
+
 WORK = "source_id long, status string, watermark string, ruleset_version string, epoch int, retry int, started_at timestamp, finished_at timestamp, reason string"
 PHASES = "source_id long, phase string, status string, target string, completed string, ruleset_version string, epoch int, retry int, started_at timestamp, finished_at timestamp, reason string"
 # States, phases, the target that any head result answers, and the
@@ -24,6 +26,7 @@ WORK_STATES = ("pending", "in_progress", "done", "failed", "cancelled")
 PHASE_STATES = ("pending", "running", "done", "incomplete", "failed", "cancelled")
 PHASE_NAMES = ("head", "history")
 ANY_TARGET, GONE = "latest", "repository_unavailable"
+BUDGET_REASON = "scan_cache_budget_exceeded"
 
 
 def _changed(df: DataFrame, hit: Column, **values) -> DataFrame:
@@ -147,6 +150,45 @@ def claimable(phases: DataFrame, work: DataFrame, phase: str, epoch: int) -> Dat
     return phases.where((F.col("phase") == phase) & (F.col("status") == "pending")).join(alive, ["source_id", "epoch"]).select("source_id", "phase", "target", "epoch")
 
 
+def with_phases(sources: DataFrame, phases: DataFrame) -> DataFrame:
+    """Sources with the state of both phases: ``head_status, head_completed,
+    history_status, history_completed``, null where a phase is not known. The phases
+    are folded to a row per source first, so it is one join."""
+    folded = phases.groupBy("source_id").agg(*[F.max(F.when(F.col("phase") == p, F.col(c))).alias(f"{p}_{c}") for p in PHASE_NAMES for c in ("status", "completed")])
+    return sources.join(folded, "source_id", "left")
+
+
+def queue_status(work: DataFrame) -> DataFrame:
+    """One row: how many sources wait, by being new or tried before, and each state's count."""
+    waits = F.col("status") == "pending"
+    new = F.count_if(waits & F.col("started_at").isNull()).alias("new")
+    return work.agg(new, F.count_if(waits & F.col("started_at").isNotNull()).alias("again"), *[F.count_if(F.col("status") == s).alias(s) for s in WORK_STATES])
+
+
+def within_budget(rows: DataFrame, size: str, budget: int, sequence: str = "seq", bucket: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Rows of each source, in sequence, up to a budget of summed sizes, and
+    ``(source_id, status, reason, scanned)``: ``incomplete`` for a source whose rows
+    go beyond it, else ``done``.
+
+    Sizes are summed by buckets of the sequence, and only the bucket in which a budget
+    ends is ordered, so a source may have any number of rows.
+    """
+    at = F.floor(F.col(sequence) / bucket)
+    sums = rows.groupBy("source_id", at.alias("_bucket")).agg(F.sum(size).alias("_sum"))
+    order = Window.partitionBy("source_id").orderBy("_bucket")
+    before = F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = stored(sums.withColumns({"_before": before, "_after": F.sum("_sum").over(order)}).where(F.col("_before") <= budget), "budget")
+    placed = rows.withColumn("_bucket", at).join(sums, ["source_id", "_bucket"])
+    inside, cut = placed.where(F.col("_after") <= budget), placed.where(F.col("_after") > budget)
+    upto = F.sum(size).over(Window.partitionBy("source_id").orderBy(sequence).rowsBetween(Window.unboundedPreceding, 0))
+    cut = cut.withColumn("_upto", upto + F.col("_before")).where(F.col("_upto") <= budget).drop("_upto")
+    kept = inside.unionByName(cut).select(*rows.columns)
+    over = F.max(F.col("_after") > budget)
+    ended = sums.groupBy("source_id").agg(F.when(over, "incomplete").otherwise("done").alias("status"), F.when(over, BUDGET_REASON).alias("reason"))
+    scanned = kept.groupBy("source_id").agg(F.count(F.lit(1)).alias("scanned"))
+    return kept, ended.join(scanned, "source_id", "left").withColumn("scanned", F.coalesce("scanned", F.lit(0)))
+
+
 def seeded(work: DataFrame) -> DataFrame:
     """Done phases of sources that were done before there were phases."""
     known = work.where("status = 'done' and watermark is not null and ruleset_version is not null")

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from corpusguard.functions import text as tx
 from corpusguard.functions.fingerprints import fingerprints
-from corpusguard.functions.percentile import lower_index
+from corpusguard.functions.checksum import checksum
+from corpusguard.functions.percentile import lower_index, lower_indexes
 from corpusguard.mail import metrics, rules as mail_rules, split
 from corpusguard.mail.parse import visible_html
 from corpusguard.operators import findings, ledger, paths
-from corpusguard.operators.detect import detect, may_hold_tokens, redact_texts
+from corpusguard.operators.detect import detect, may_hold_tokens, redact_texts, rescan
 from corpusguard.operators.rules import PORTABLE, ruleset_version
+from corpusguard.functions.udfs import register
+from corpusguard.plans.planted import with_tokens
 from corpusguard.sources.files import named_events, replayed
 
 #: Of the registered queries only; an operator uses a key of their own.
@@ -48,7 +51,7 @@ def entropy_by_lang(t):
 @_query
 def rule_hits_by_source(t):
     """Matches of the rules that any regular-expression engine agrees on, with zeros."""
-    docs = t("documents").where(may_hold_tokens(F.col("text")))
+    docs = with_tokens(t("documents")).where(may_hold_tokens(F.col("text")))
     counts = [F.struct(F.lit(name).alias("rule_id"), F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("n")) for name, p in PORTABLE.items()]
     hits = docs.select("source", F.explode(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("hit"))
     found = hits.groupBy("source", F.col("hit.rule_id").alias("rule_id")).agg(F.sum("hit.n").alias("n"))
@@ -58,18 +61,28 @@ def rule_hits_by_source(t):
 
 @_query
 def detect_findings(t):
-    return detect(t("documents"), QUERY_KEY, AS_OF)
+    found = detect(with_tokens(t("documents")), QUERY_KEY, AS_OF)
+    return found.select("doc_id", "source", "rule_id", "span_start", "span_end", "line_no", "context_name", "fingerprint", "value_len", "origin", "triage")
 
 
 @_query
 def findings_by_rule(t):
-    found = detect(t("documents"), QUERY_KEY, AS_OF)
+    found = detect(with_tokens(t("documents")), QUERY_KEY, AS_OF)
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fingerprint").alias("n_values"))
 
 
 @_query
 def redact_documents(t):
-    return redact_texts(t("documents"))
+    return redact_texts(with_tokens(t("documents"))).select("doc_id", "lang", "source", "text", "n_redacted")
+
+
+@_query
+def redact_by_function(t):
+    """The registered functions, called by name in SQL."""
+    spark = t("documents").sparkSession
+    register(spark)
+    rows = with_tokens(t("documents")).where(may_hold_tokens(F.col("text"))).selectExpr("doc_id", "detect_spans(text) AS spans", "redact(text) AS text")
+    return rows.select("doc_id", F.size("spans").cast("long").alias("n"), F.sha2("text", 256).alias("text_sha256")).where("n > 0")
 
 
 @_query
@@ -129,11 +142,6 @@ def count_by_type(t):
     return findings.matching(t("orders"), o_orderstatus=["F"], o_custkey=None).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query
-def queue_status(t):
-    return t("orders").agg(F.count_if(F.col("o_orderstatus") == "P").alias("pending"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count(F.lit(1)).alias("n"))
-
-
 @_query
 def entity_options(t):
     return findings.options(_orders_of_customers(t), "c_custkey", ["c_name"], "o_orderstatus", ("F", "O", "unknown"), "unknown")
@@ -187,23 +195,22 @@ def scope_without_grants(t):
 
 @_query
 def pending_anti_join(t):
-    done = t("labels").where("quality is not null")
-    return t("documents").join(done, "doc_id", "left_anti").select("doc_id", "source")
+    """Documents without a label; a label that is toxic counts as failed."""
+    return findings.pending(t("documents"), t("labels").where("quality is not null"), "doc_id", F.col("toxic") == 1).select("doc_id", "source")
 
 
 @_query
 def orphan_results(t):
     """Results whose id or source the corpus does not have."""
     saved = t("labels").join(t("documents").select("doc_id", "source"), "doc_id").select((F.col("doc_id") + (F.col("doc_id") % 10 == 0).cast("int") * 1_000_000_000).alias("doc_id"), "source")
-    return saved.join(t("documents"), ["doc_id", "source"], "left_anti").select("doc_id", "source")
+    return findings.orphans(saved, t("documents"), ["doc_id", "source"])
 
 
 @_query
-def phase_lookup(t):
+def counts_or_zero(t):
     """Each customer with the count of all orders and of two states, 0 without any."""
-    states = t("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("head"), F.count_if(F.col("o_orderstatus") == "O").alias("history"))
-    out = t("customer").join(states, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return out.select("c_custkey", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "head", "history")])
+    states = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("head"), F.count_if(F.col("o_orderstatus") == "O").alias("history"))
+    return findings.with_counts(t("customer").select("c_custkey"), states, "c_custkey")
 
 
 @_query
@@ -222,16 +229,13 @@ def claim_oldest(t):
 
 @_query
 def deterministic_sample(t):
-    order = F.sha2(F.concat(F.lit("17|"), F.col("o_orderkey").cast("string")), 256)
-    return findings.page(t("orders").select("o_orderkey", order.alias("rank")), [F.asc("rank"), F.asc("o_orderkey")], limit=500).select("o_orderkey")
+    return findings.sample(t("orders").select("o_orderkey"), "o_orderkey", 500, 17)
 
 
 @_query
 def first_source_wins(t):
     """Texts of several sources belong to the first one."""
-    key = F.sha2("text", 256)
-    best = t("documents").where("text is not null").groupBy(key.alias("id")).agg(F.min(F.struct("source", "doc_id")).alias("first"))
-    return best.select("id", F.col("first.source").alias("source"), F.col("first.doc_id").alias("doc_id"))
+    return findings.first_source_wins(t("documents").select("source", "doc_id", "text"), F.sha2("text", 256), ["source", "doc_id"]).drop("text")
 
 
 @_query
@@ -300,10 +304,7 @@ def exact_dup_groups(t):
 
 @_query
 def corpus_checksum(t):
-    """One value for a table's rows, whatever their order: sums of parts of digests."""
-    row = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
-    parts = [F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("long")).alias(f"part{i}") for i in range(2)]
-    return t("documents").agg(F.count(F.lit(1)).alias("n"), *parts)
+    return checksum(t("documents"), ["doc_id", "text"])
 
 
 @_query
@@ -338,10 +339,6 @@ def _outcomes(t):
     return t("labels").join(t("documents").select("doc_id", "lang", "source"), "doc_id").select("doc_id", "lang", "source", label.alias("label"), choice.alias("status"))
 
 
-def _rounded(df):
-    return df.select(*[F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
-
-
 @_query
 def confusion_matrix(t):
     return metrics.confusion(_outcomes(t), ["lang"])
@@ -349,7 +346,7 @@ def confusion_matrix(t):
 
 @_query
 def confusion_metrics(t):
-    return _rounded(metrics.summary(_outcomes(t), []))
+    return metrics.rounded(metrics.summary(_outcomes(t), []))
 
 
 @_query
@@ -357,7 +354,7 @@ def grouped_metrics(t):
     """By all, by language and by source: rows repeat per grouping before one pass."""
     rows = _outcomes(t)
     groups = F.array(*[F.struct(F.lit(name).alias("grouping"), value.alias("value")) for name, value in (("all", F.lit("")), ("lang", F.col("lang")), ("source", F.col("source")))])
-    return _rounded(metrics.summary(rows.select("label", "status", F.inline(groups)), ["grouping", "value"]))
+    return metrics.rounded(metrics.summary(rows.select("label", "status", F.inline(groups)), ["grouping", "value"]))
 
 
 @_query
@@ -368,10 +365,7 @@ def class_weights(t):
 @_query
 def latency_p95_lower_index(t):
     timed = t("events").where("value >= 0 and value < 120000")
-    p95 = lower_index(timed, ["event_type"], "value", 0.95, "p95")
-    p99 = lower_index(timed, ["event_type"], "value", 0.99, "p99")
-    median = timed.groupBy("event_type").agg(F.percentile("value", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
-    return median.join(p95, "event_type").join(p99, "event_type")
+    return lower_indexes(timed, ["event_type"], "value", {"p95": 0.95, "p99": 0.99}, medians=("median",))
 
 
 @_query
@@ -381,9 +375,7 @@ def latency_p95_overall(t):
 
 @_query
 def cost_totals(t):
-    cost = F.when(F.col("event_id") % 6 != 0, F.col("value"))
-    failed = F.col("event_id") % 10 == 0
-    return t("events").agg(F.sum(F.coalesce(cost, F.lit(0.0))).alias("cost"), F.max(F.when(~failed, cost)).alias("slowest"), F.count_if(failed).alias("failed"))
+    return metrics.totals(t("events"), F.when(F.col("event_id") % 6 != 0, F.col("value")), F.col("event_id") % 10 == 0)
 
 
 def _messages(t):
@@ -393,19 +385,44 @@ def _messages(t):
     return rows.select(made.alias("f"), _sources().alias("source"), F.format_string("%012d", "doc_id").alias("source_id"), label.alias("label")).select("f.id", "f.simhash", "source", "source_id", "label")
 
 
+@_query
+def split_corpus(t):
+    return split.prepare(_messages(t))[0].select("id", "source", "source_id", "label", "split")
+
+
+def _hashed(t):
+    """Messages with given simhashes: groups whose members differ from a common value
+    in two bits each, so some are linked only through others."""
+    group, member = (F.col("doc_id") % 150).cast("string"), F.floor(F.col("doc_id") / 150)
+    common = F.conv(F.substring(F.md5(group), 1, 15), 16, 10).cast("long")
+    flips = [F.call_function("shiftleft", F.lit(1).cast("long"), (member * n % 60).cast("int")) for n in (7, 13)]
+    simhash = common.bitwiseXOR(flips[0]).bitwiseXOR(flips[1])
+    label = F.when(F.col("doc_id") % 10 == 3, "phishing").otherwise("ham")
+    rows = t("documents").select(simhash.alias("simhash"), _sources().alias("source"), F.format_string("%012d", "doc_id").alias("source_id"), label.alias("label"))
+    return rows.select(F.md5(F.col("simhash").cast("string")).alias("id"), "*")
+
+
 @_query
 def near_duplicate_clusters(t):
-    return split.clusters(_messages(t)).select("source_id", "simhash", "cluster")
+    return split.clusters(_hashed(t)).select("source_id", "simhash", "cluster")
 
 
 @_query
-def split_corpus(t):
-    return split.prepare(_messages(t))[0].select("id", "source", "source_id", "label", "split")
+def split_of_hashes(t):
+    return split.prepare(_hashed(t))[0].select("id", "source", "source_id", "label", "split")
 
 
 @_query
 def split_exclusions(t):
-    return split.exclusions(split.clusters(_messages(t)))
+    return split.exclusions(split.clusters(_hashed(t)))
+
+
+@_query
+def split_manifest(t):
+    messages = _hashed(t)
+    kept, policy, clustered = split.prepare(messages)
+    made = split.manifest(messages, kept, split.exclusions(clustered), policy, 17)
+    return made.select("seed", "split_policy", *[F.to_json(c).alias(c) for c in ("source_counts", "split_counts", "excluded")])
 
 
 @_query
@@ -480,6 +497,101 @@ def ledger_claimable(t):
     return ledger.claimable(pending, work, "head", 1).select("source_id", "target")
 
 
+def _phases(t):
+    """Phases of every order in all states, with targets 1 to 4."""
+    status = F.element_at(F.array(*[F.lit(x) for x in ledger.PHASE_STATES]), (F.col("o_orderkey") % 6).cast("int") + 1)
+    return t("orders").select(
+        F.col("o_orderkey").cast("long").alias("source_id"),
+        F.explode(F.array(*[F.lit(p) for p in ledger.PHASE_NAMES])).alias("phase"),
+        status.alias("status"),
+        F.when(F.col("o_orderkey") % 5 == 0, ledger.ANY_TARGET).otherwise((F.col("o_orderkey") % 4 + 1).cast("string")).alias("target"),
+        F.when(status == "done", "0").alias("completed"),
+        F.lit(None).cast("string").alias("ruleset_version"),
+        (F.col("o_orderkey") % 3).cast("int").alias("epoch"),
+        F.lit(0).alias("retry"),
+        F.lit(None).cast("timestamp").alias("started_at"),
+        F.lit(None).cast("timestamp").alias("finished_at"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+
+
+def _few(t, f):
+    """The states after a transition of each of some sources, one after the other."""
+    work, phases = _work(t), _phases(t)
+    picked = work.where("source_id <= 64").drop("_")
+    few = phases.join(picked.select("source_id"), "source_id", "left_semi")
+    for source_id in (1, 2, 3, 4, 5, 6, 7, 32, 33, 34, 35, 36, 37, 38, 39, 64):
+        few, picked = f(few, picked, source_id)
+    return few, picked
+
+
+@_query
+def queue_status(t):
+    return ledger.queue_status(_work(t))
+
+
+@_query
+def phase_lookup(t):
+    """Both phases of each source beside it; sources without any have nulls."""
+    return ledger.with_phases(_work(t).select("source_id"), _phases(t).where("source_id % 7 <> 0 and not (phase = 'history' and source_id % 4 = 1)"))
+
+
+@_query
+def ledger_add(t):
+    arriving = t("lineitem").select((F.col("l_orderkey") + F.when(F.col("l_linenumber") == 1, 0).otherwise(1_000_000)).alias("source_id"))
+    return _by_status(ledger.add(_work(t), arriving))
+
+
+@_query
+def ledger_schedule(t):
+    after, _ = _few(t, lambda phases, work, i: (ledger.schedule(phases, work, i, "head", "9", 1), work))
+    return after.select("source_id", "phase", "status", "target", "epoch")
+
+
+@_query
+def ledger_claim_phase(t):
+    after, _ = _few(t, lambda phases, work, i: (ledger.claim_phase(phases, work, i, "head", str(i % 4 + 1), i % 3, AS_OF), work))
+    return after.select("source_id", "phase", "status", "started_at")
+
+
+@_query
+def ledger_finish_phase(t):
+    def finish(phases, work, i):
+        return ledger.finish_phase(phases, work, i, "head", "done" if i % 2 else "failed", str(i % 4 + 1), i % 3, AS_OF, completed="9", version="v", reason="time")
+
+    after, work = _few(t, finish)
+    both = after.where("phase = 'head'").select("source_id", "status", "completed", F.col("retry").alias("tries"))
+    return both.join(work.select("source_id", F.col("status").alias("work_status"), "watermark", F.col("retry").alias("work_tries")), "source_id")
+
+
+@_query
+def ledger_control(t):
+    """The control record after each of a list of actions."""
+    state, rows = {"state": "ready", "epoch": 0, "stop_epoch": None, "requested_at": None, "finished_at": None}, []
+    for n, (action, epoch) in enumerate([("admit", None), ("stop", None), ("stop", None), ("finish", 0), ("finish", 1), ("admit", None), ("stop", None), ("finish", 2)]):
+        state = ledger.control(state, action, AS_OF, epoch)
+        rows.append((n, action, state["state"], state["epoch"]))
+    return t("region").sparkSession.createDataFrame(rows, "step int, action string, state string, epoch int")
+
+
+@_query
+def scan_budget(t):
+    rows = t("lineitem").select(F.col("l_suppkey").cast("long").alias("source_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").cast("long").alias("bytes"))
+    return ledger.within_budget(rows, "bytes", 15_000)[1]
+
+
+@_query
+def scoped_rescan(t):
+    """One source's texts scanned anew for one rule: its findings are merged and lose their triage."""
+    rows = with_tokens(t("documents")).select(
+        F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("source_id"), F.concat(F.lit("p"), F.col("doc_id")).alias("path"), F.lit("path").alias("origin"), F.lit("s").alias("seq_id"), F.col("doc_id").alias("arrival"), "text"
+    )
+    rule = "aws_access_key_id"
+    known = rows.where("arrival % 2 = 0").select("source_id", F.lit(rule).alias("rule_id"), F.col("path").alias("fingerprint"), "path", "origin", F.lit(1).alias("line_no"), F.lit(None).cast("string").alias("context_name"), "seq_id", "arrival", F.lit("valid").alias("triage"))
+    after = rescan(known, rows, 3, rule, QUERY_KEY, AS_OF)
+    return after.groupBy("source_id", "rule_id", "triage").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query
 def frozen_list_mismatches(t):
     rows = t("orders").select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("id"))
@@ -487,14 +599,6 @@ def frozen_list_mismatches(t):
     return findings.out_of_place(rows.where("position % 100 <> 9"), frozen)
 
 
-@_query
-def split_manifest(t):
-    messages = _messages(t)
-    kept, policy = split.prepare(messages)
-    made = split.manifest(messages, kept, split.exclusions(split.clusters(messages)), policy, 17)
-    return made.select("seed", "split_policy", *[F.to_json(c).alias(c) for c in ("source_counts", "split_counts", "excluded")])
-
-
 @_query
 def sorted_customers(t):
     return findings.page(findings.sorted_view(t("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", True, "c_custkey"), [F.desc(F.lower("c_mktsegment")), F.desc("c_custkey")], limit=50)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from corpusguard.operators.ledger import GONE, WORK_STATES
+from corpusguard.operators.detect import fingerprint
+from corpusguard.operators.ledger import ANY_TARGET, BUDGET_REASON, GONE, PHASE_STATES, WORK_STATES
 from corpusguard.operators.paths import EXCLUDED_PATHS
 from corpusguard.operators.rules import ENTROPY_ABOVE, GENERIC_TOKEN, LEAST_DIGITS, PORTABLE, ruleset_version
+from corpusguard.plans.planted import findings_sql, lines_sql
+from corpusguard.plans.queries import AS_OF, QUERY_KEY
 
 SQL: dict[str, str] = {}
 
@@ -25,11 +28,23 @@ SELECT lang, source, count(*) AS n, count(*) FILTER (h > {ENTROPY_ABOVE}) AS n_h
 """
 
 SQL["rule_hits_by_source"] = (
-    "SELECT source, rule_id, CAST(sum(n) AS BIGINT) AS n FROM ("
-    + " UNION ALL ".join(f"SELECT source, {_quoted(name)} AS rule_id, len(regexp_extract_all(text, {_quoted(p)})) AS n FROM documents" for name, p in PORTABLE.items())
+    f"WITH {lines_sql()} SELECT source, rule_id, CAST(sum(n) AS BIGINT) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT source, {_quoted(name)} AS rule_id, coalesce(len(regexp_extract_all(whole, {_quoted(p)})), 0) AS n FROM texts" for name, p in PORTABLE.items())
     + ") GROUP BY source, rule_id"
 )
 
+# The documents themselves hold no token; what the lines hold is known.
+_FOUND = f"WITH {lines_sql()}, {findings_sql(lambda value: fingerprint(value, QUERY_KEY))}"
+SQL["detect_findings"] = f"""{_FOUND}
+SELECT doc_id, source, rule_id, CAST(length(text) + 1 + a AS INTEGER) AS span_start, CAST(length(text) + 1 + b AS INTEGER) AS span_end,
+  CAST(length(text) - length(replace(text, chr(10), '')) + 2 AS INTEGER) AS line_no, context_name, fingerprint, CAST(b - a AS INTEGER) AS value_len, 'path' AS origin, 'unknown' AS triage
+FROM texts JOIN found USING (slot, variant) WHERE text IS NOT NULL
+"""
+SQL["findings_by_rule"] = f"{_FOUND} SELECT rule_id, count(*) AS n, count(DISTINCT fingerprint) AS n_values FROM texts JOIN found USING (slot, variant) WHERE text IS NOT NULL GROUP BY rule_id"
+_REDACTED = "CASE WHEN redacted IS NULL THEN text ELSE text || chr(10) || redacted || chr(10) END"
+SQL["redact_documents"] = f"WITH {lines_sql()} SELECT doc_id, lang, source, {_REDACTED} AS text, CASE WHEN text IS NULL THEN 0 ELSE coalesce(n, 0) END AS n_redacted FROM texts"
+SQL["redact_by_function"] = f"WITH {lines_sql()} SELECT doc_id, CAST(n AS BIGINT) AS n, sha256({_REDACTED}) AS text_sha256 FROM texts WHERE n > 0 AND text IS NOT NULL"
+
 SQL["excluded_paths"] = f"""
 WITH cut AS (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 odd AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '/vendor' || path WHEN page_id % 7 = 1 THEN path || '/App.Test.tsx' ELSE path END AS path FROM cut)
@@ -65,7 +80,6 @@ FROM (VALUES (0, 'F'), (1, 'O'), (2, 'P'), (3, 'X')) v(position, value) LEFT JOI
 GROUP BY v.position, v.value
 """
 SQL["count_by_type"] = "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1"
-SQL["queue_status"] = "SELECT count(*) FILTER (o_orderstatus = 'P') AS pending, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) AS n FROM orders"
 SQL["entity_options"] = """
 SELECT c_custkey, min(c_name) AS c_name, count(*) AS count, count(*) FILTER (o_orderstatus = 'F') AS "F_count", count(*) FILTER (o_orderstatus = 'O') AS "O_count",
   count(*) FILTER (o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O')) AS unknown_count
@@ -95,12 +109,12 @@ r AS (SELECT o_orderkey, c_mktsegment AS owner, c_name AS name FROM orders JOIN
 """
 SQL["scope_semi_join"] = _SCOPE + "SELECT owner, count(*) AS n FROM r WHERE EXISTS (SELECT 1 FROM grants g WHERE g.owner = lower(r.owner) AND g.name = lower(r.name)) GROUP BY owner"
 SQL["scope_without_grants"] = "SELECT CAST(0 AS BIGINT) AS n"
-SQL["pending_anti_join"] = "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality IS NOT NULL)"
+SQL["pending_anti_join"] = "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality IS NOT NULL AND toxic IS DISTINCT FROM 1)"
 SQL["orphan_results"] = """
 WITH s AS (SELECT l.doc_id + CASE WHEN l.doc_id % 10 = 0 THEN 1000000000 ELSE 0 END AS doc_id, source FROM labels l JOIN documents d USING (doc_id))
 SELECT doc_id, source FROM s WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = s.doc_id AND d.source = s.source)
 """
-SQL["phase_lookup"] = """
+SQL["counts_or_zero"] = """
 SELECT c_custkey, count(o_orderkey) AS n, count(o_orderkey) FILTER (o_orderstatus = 'F') AS head, count(o_orderkey) FILTER (o_orderstatus = 'O') AS history
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey
 """
@@ -156,6 +170,48 @@ SELECT doc_id,
 FROM s
 """
 
+_HASHED = f"""
+b AS (
+  SELECT *, CAST('0x' || substr(md5(CAST(doc_id % 150 AS VARCHAR)), 1, 15) AS BIGINT) AS common, doc_id // 150 AS k, {_MAIL_SOURCE} AS mail_source FROM documents
+),
+m AS (
+  SELECT xor(xor(common, CAST(1 AS BIGINT) << CAST(k * 7 % 60 AS BIGINT)), CAST(1 AS BIGINT) << CAST(k * 13 % 60 AS BIGINT)) AS simhash, mail_source AS source, printf('%012d', doc_id) AS source_id,
+    CASE WHEN doc_id % 10 = 3 THEN 'phishing' ELSE 'ham' END AS label FROM b
+),
+h AS (SELECT DISTINCT simhash FROM m),
+links AS (SELECT x.simhash AS a, y.simhash AS b FROM h x, h y WHERE x.simhash <> y.simhash AND bit_count(xor(x.simhash, y.simhash)) <= 3),
+reach(a, b) AS (SELECT simhash, simhash FROM h UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT m.*, md5(CAST(m.simhash AS VARCHAR)) AS id, x.cluster FROM m JOIN (SELECT a AS simhash, min(b) AS cluster FROM reach GROUP BY a) x USING (simhash))
+"""
+_KEPT = """
+s AS (
+  SELECT *, CASE WHEN source IN ('nazario-2024', 'phishing-pot', 'trec05', 'trec07') THEN 'test' WHEN source IN ('nazario-2022', 'spamassassin-hard_ham') THEN 'validation' ELSE 'train' END AS split,
+    count(DISTINCT label) OVER (PARTITION BY cluster) AS labels, count(*) OVER (PARTITION BY cluster) AS size FROM c
+),
+kept AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY CASE split WHEN 'test' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END, source, source_id) AS n FROM s WHERE labels = 1) WHERE n = 1
+),
+lost AS (
+  SELECT reason, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT DISTINCT cluster, CASE WHEN labels > 1 THEN 'conflicting_label' ELSE 'duplicate' END AS reason, CASE WHEN labels > 1 THEN size ELSE size - 1 END AS n FROM s
+  ) WHERE n > 0 GROUP BY reason
+)
+"""
+SQL["near_duplicate_clusters"] = f"WITH RECURSIVE {_HASHED} SELECT source_id, simhash, cluster FROM c"
+SQL["split_of_hashes"] = f"WITH RECURSIVE {_HASHED}, {_KEPT} SELECT id, source, source_id, label, split FROM kept"
+SQL["split_exclusions"] = f"WITH RECURSIVE {_HASHED}, {_KEPT} SELECT reason, n FROM lost"
+
+
+def _json_counts(key: str, rows: str) -> str:
+    return f"(SELECT '{{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}}' FROM (SELECT {key} AS k, {rows}))"
+
+
+SQL["split_manifest"] = f"""
+WITH RECURSIVE {_HASHED}, {_KEPT}
+SELECT 17 AS seed, 'trec07_in_test' AS split_policy, {_json_counts("source", "count(*) AS n FROM m GROUP BY source")} AS source_counts,
+  {_json_counts("split", "count(*) AS n FROM kept GROUP BY split")} AS split_counts, {_json_counts("reason", "n FROM lost")} AS excluded
+"""
+
 _OUTCOMES = """
 o AS (
   SELECT l.doc_id, lang, source, CASE WHEN quality = 0 THEN 'phishing' ELSE 'ham' END AS label,
@@ -264,6 +320,73 @@ WITH m AS (SELECT o_orderkey AS source_id, o_orderkey % 1000 AS mark FROM orders
 SELECT l_orderkey AS source_id, count(*) AS n FROM lineitem LEFT JOIN m ON m.source_id = l_orderkey WHERE mark IS NULL OR l_partkey % 1000 > mark GROUP BY l_orderkey
 """
 SQL["ledger_claimable"] = f"""WITH {_WORK} SELECT source_id, '1' AS target FROM w WHERE source_id % 2 = 0 AND epoch = 1 AND status <> 'cancelled'"""
+SQL["queue_status"] = f"""WITH {_WORK} SELECT count(*) FILTER (status = 'pending' AND started_at IS NULL) AS "new", count(*) FILTER (status = 'pending' AND started_at IS NOT NULL) AS again,
+  {", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in WORK_STATES)} FROM w"""
+_PHASES = f"""
+p AS (
+  SELECT o_orderkey AS source_id, phase, list_extract([{", ".join(map(_quoted, PHASE_STATES))}], CAST(o_orderkey % 6 AS INTEGER) + 1) AS status,
+    CASE WHEN o_orderkey % 5 = 0 THEN '{ANY_TARGET}' ELSE CAST(o_orderkey % 4 + 1 AS VARCHAR) END AS target, CASE WHEN o_orderkey % 6 = 2 THEN '0' END AS completed, CAST(o_orderkey % 3 AS INTEGER) AS epoch
+  FROM orders, (VALUES ('head'), ('history')) n(phase)
+),
+few AS (SELECT w.* FROM w WHERE source_id <= 64)
+"""
+SQL["phase_lookup"] = f"""
+WITH {_WORK}, {_PHASES}, q AS (SELECT * FROM p WHERE source_id % 7 <> 0 AND NOT (phase = 'history' AND source_id % 4 = 1))
+SELECT w.source_id, h.status AS head_status, h.completed AS head_completed, y.status AS history_status, y.completed AS history_completed
+FROM w LEFT JOIN (SELECT * FROM q WHERE phase = 'head') h USING (source_id) LEFT JOIN (SELECT * FROM q WHERE phase = 'history') y USING (source_id)
+"""
+SQL["ledger_add"] = f"""
+WITH {_WORK}, new AS (SELECT DISTINCT l_orderkey + CASE WHEN l_linenumber = 1 THEN 0 ELSE 1000000 END AS source_id FROM lineitem),
+both_ AS (SELECT status, epoch, source_id FROM w UNION ALL SELECT 'pending', 0, source_id FROM new WHERE source_id NOT IN (SELECT source_id FROM w))
+SELECT status, epoch, count(*) AS n, CAST(sum(source_id) AS BIGINT) AS ids FROM both_ GROUP BY ALL
+"""
+# Of the source: an older or equal epoch, and not cancelled in this one; of the phase: the
+# same, unless the source is at work in this epoch.
+SQL["ledger_schedule"] = f"""
+WITH {_WORK}, {_PHASES},
+x AS (SELECT p.*, few.epoch AS we, few.status AS ws FROM p JOIN few USING (source_id)),
+hit AS (
+  SELECT *, phase = 'head' AND source_id IN (1, 2, 3, 4, 5, 6, 7, 32, 33, 34, 35, 36, 37, 38, 39, 64) AND epoch <= 1 AND we <= 1 AND NOT (we = 1 AND ws = 'cancelled')
+    AND NOT (epoch = 1 AND status = 'cancelled' AND NOT (we = 1 AND ws = 'in_progress')) AS h FROM x
+)
+SELECT source_id, phase, CASE WHEN h THEN 'pending' ELSE status END AS status, CASE WHEN h THEN '9' ELSE target END AS target, CASE WHEN h THEN 1 ELSE epoch END AS epoch FROM hit
+"""
+SQL["ledger_claim_phase"] = f"""
+WITH {_WORK}, {_PHASES},
+hit AS (
+  SELECT p.*, p.phase = 'head' AND p.source_id IN (1, 2, 3, 4, 5, 6, 7, 32, 33, 34, 35, 36, 37, 38, 39, 64) AND p.status = 'pending' AND p.target <> '{ANY_TARGET}' AND few.status <> 'cancelled' AS h
+  FROM p JOIN few USING (source_id)
+)
+SELECT source_id, phase, CASE WHEN h THEN 'running' ELSE status END AS status, CASE WHEN h THEN TIMESTAMP '{AS_OF}' END AS started_at FROM hit
+"""
+SQL["ledger_finish_phase"] = f"""
+WITH {_WORK}, {_PHASES},
+hit AS (
+  SELECT p.source_id, p.status, p.completed, few.status AS ws, few.retry AS wr, few.watermark AS wm,
+    p.source_id IN (1, 2, 3, 4, 5, 6, 7, 32, 33, 34, 35, 36, 37, 38, 39, 64) AND p.status = 'running' AS h, p.source_id % 2 = 1 AS good
+  FROM p JOIN (SELECT w.*, CASE WHEN status = 'done' THEN CAST(source_id % 1000 AS VARCHAR) END AS watermark FROM w WHERE source_id <= 64) few USING (source_id) WHERE p.phase = 'head'
+)
+SELECT source_id, CASE WHEN h THEN CASE WHEN good THEN 'done' ELSE 'failed' END ELSE status END AS status, CASE WHEN h AND good THEN '9' ELSE completed END AS completed,
+  CAST(h AND NOT good AS INTEGER) AS tries, CASE WHEN h AND ws <> 'cancelled' THEN CASE WHEN good THEN 'done' ELSE 'failed' END ELSE ws END AS work_status,
+  CASE WHEN h AND good AND ws <> 'cancelled' THEN '9' ELSE wm END AS watermark, CAST(wr + (h AND NOT good AND ws <> 'cancelled')::INT AS INTEGER) AS work_tries FROM hit
+"""
+SQL["ledger_control"] = """
+SELECT CAST(step AS INTEGER) AS step, action, state, CAST(epoch AS INTEGER) AS epoch FROM (VALUES
+  (0, 'admit', 'ready', 0), (1, 'stop', 'stopping', 1), (2, 'stop', 'stopping', 1), (3, 'finish', 'stopping', 1),
+  (4, 'finish', 'stopped', 1), (5, 'admit', 'ready', 1), (6, 'stop', 'stopping', 2), (7, 'finish', 'stopped', 2)) v(step, action, state, epoch)
+"""
+SQL["scan_budget"] = f"""
+WITH r AS (SELECT l_suppkey AS source_id, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber RANGE UNBOUNDED PRECEDING) AS upto FROM lineitem)
+SELECT source_id, CASE WHEN max(upto) > 15000 THEN 'incomplete' ELSE 'done' END AS status, CASE WHEN max(upto) > 15000 THEN '{BUDGET_REASON}' END AS reason, count(*) FILTER (upto <= 15000) AS scanned FROM r GROUP BY source_id
+"""
+SQL["scoped_rescan"] = f"""{_FOUND},
+k AS (
+  SELECT DISTINCT CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS source_id, 'aws_access_key_id' AS rule_id, 'p' || doc_id AS fingerprint FROM documents WHERE doc_id % 2 = 0
+  UNION SELECT CAST(regexp_extract(source, '[0-9]+') AS BIGINT), rule_id, fingerprint FROM texts JOIN found USING (slot, variant)
+    WHERE text IS NOT NULL AND CAST(regexp_extract(source, '[0-9]+') AS BIGINT) = 3 AND rule_id IN ('aws_access_key_id', 'aws_secret_access_key')
+)
+SELECT source_id, rule_id, CASE WHEN source_id = 3 THEN 'unknown' ELSE 'valid' END AS triage, count(*) AS n FROM k GROUP BY ALL
+"""
 SQL["frozen_list_mismatches"] = """
 WITH f AS (SELECT o_orderkey AS position, CASE WHEN o_orderkey % 90 = 5 THEN -o_custkey ELSE o_custkey END AS id FROM orders WHERE o_orderkey % 100 <> 7)
 SELECT coalesce(r.o_orderkey, f.position) AS position, r.o_custkey AS found, f.id AS expected
