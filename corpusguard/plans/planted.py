@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from corpusguard.operators.rules import ENTROPY_ABOVE, GENERIC, GENERIC_RULE, LEAST_DIGITS, RULES, SERVICE_ACCOUNT, Rule
 from corpusguard.operators.scan import shannon_entropy
 
+#: Draws for a line, of which most fit; more mean that a rule's format cannot be drawn.
+DRAWS = 1000
 #: Texts whose doc_id leaves a remainder below the number of rules get that rule's token.
 SLOTS, VARIANTS = 97, 3
 CONTEXT = "value"
@@ -92,7 +94,7 @@ def _findings(rule: Rule, line: str) -> tuple[tuple[str, int, int, str | None],
         if places:
             whole = (line.index("{"), line.rindex("}") + 1) if other.rule_id == SERVICE_ACCOUNT else places[0]
             out.append((other.rule_id, *whole, None))
-    if any(r.made_up is not None and r.made_up.search(line) for r in (rule, GENERIC_RULE)) and rule.rule_id != SERVICE_ACCOUNT:
+    if rule.made_up is not None and rule.made_up.search(line):
         return None
     if rule is GENERIC_RULE:
         found = [m for m in rule.pattern.finditer(line) if sum(c.isdigit() for c in m[0]) >= LEAST_DIGITS and shannon_entropy(m[0]) > ENTROPY_ABOVE]
@@ -106,11 +108,11 @@ def planted_lines() -> tuple[Planted, ...]:
     for slot, rule in enumerate((*RULES, GENERIC_RULE)):
         for variant in range(VARIANTS):
             rng = random.Random(f"{rule.rule_id} {variant}")
-            found = None
-            while found is None:
-                line = f"{CONTEXT} = {_token(rule, rng)} ."
-                found = _findings(rule, line)
-            out.append(Planted(slot, variant, line, found))
+            drawn = (f"{CONTEXT} = {_token(rule, rng)} ." for _ in range(DRAWS))
+            fitting = next(((line, found) for line in drawn if (found := _findings(rule, line)) is not None), None)
+            if fitting is None:
+                raise ValueError(f"no line has a token of {rule.rule_id} alone")
+            out.append(Planted(slot, variant, *fitting))
     return tuple(out)
 
 
