@@ -28,7 +28,7 @@ RANGES, MOST_VALUES = 1000, 100_000
 
 def lower_index(df: DataFrame, by: list[str], value: str, fraction: float, name: str) -> DataFrame:
     """``(by..., name)``: one row per group that has a value; nulls are passed over."""
-    return lower_indexes(df, by, value, {name: fraction})
+    return lower_indexes(df, by, value, {name: fraction}).select(*by, name)
 
 
 def lower_indexes(df: DataFrame, by: list[str], value: str, fractions: dict[str, float], medians: tuple[str, ...] = ()) -> DataFrame:
