@@ -251,3 +251,13 @@ def test_short_tokens_are_found_and_redacted(spark):
     frame = spark.createDataFrame([(i, "s", f"use {t} now") for i, t in enumerate(tokens)], "doc_id long, source string, text string")
     assert sorted(r.rule_id for r in detect(frame, b"k", "2024-01-01").collect()) == ["jwt_token", "slack_token", "slack_token"]
     assert {(r.text, r.n_redacted) for r in redact_texts(frame).collect()} == {("use [REDACTED:slack_token] now", 1), ("use [REDACTED:jwt_token] now", 1)}
+
+
+def test_planted_lines_hold_what_the_scan_finds():
+    from corpusguard.plans.planted import planted_lines
+
+    lines = planted_lines()
+    assert {p.slot for p in lines} == set(range(len(RULE_IDS)))
+    for p in lines:
+        assert sorted((f.rule_id, f.start, f.end) for f in scan_text(p.line)) == sorted(x[:3] for x in p.found)
+        assert redact(p.line, scan_text(p.line)) == p.redacted
