@@ -335,7 +335,8 @@ def main_text(page: str, low: frozenset[int] | set[int], paths: Paths) -> str:
 def style_tree(pages: DataFrame) -> DataFrame:
     """``pages(site, html)`` → ``(site, path, importance)``, ``site`` a hash of the
     host. Counts are summed in tasks before they are shuffled, and no host's pages
-    come together."""
+    come together. The counts are written once, as a host's entropies and those of
+    all hosts both start from them; pages would be parsed for each otherwise."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths, seen = Paths(), Counter()
@@ -357,7 +358,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
             yield sent()
 
     counted = pages.select("site", "html").mapInArrow(count, "site long, path long, kind int, value long, odds double, n long")
-    values = counted.groupBy("site", "path", "kind", "value").agg(F.sum("n").alias("n"), F.max("odds").alias("odds"))
+    values = stored(counted.groupBy("site", "path", "kind", "value").agg(F.sum("n").alias("n"), F.max("odds").alias("odds")), "values")
     pages_of, spread = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     entropy = F.when(pages_of > 1, (F.log(pages_of) - spread / pages_of) / F.log(pages_of)).otherwise(0.5)
     here = values.groupBy("site", "path", "kind").agg(pages_of.alias("m"), entropy.alias("entropy"), F.max("odds").alias("odds"))
