@@ -81,7 +81,12 @@ def exclusions(clustered: DataFrame) -> DataFrame:
     return sizes.select(reason.alias("reason"), lost.alias("n")).where("n > 0").groupBy("reason").agg(F.sum("n").alias("n"))
 
 
-def prepare(messages: DataFrame, small_test: int = SMALL_TEST) -> tuple[DataFrame, str, DataFrame]:
+def prepare(messages: DataFrame, small_test: int = SMALL_TEST) -> tuple[DataFrame, str]:
+    """``prepare_clustered`` without the clustered rows."""
+    return prepare_clustered(messages, small_test)[:2]
+
+
+def prepare_clustered(messages: DataFrame, small_test: int = SMALL_TEST) -> tuple[DataFrame, str, DataFrame]:
     """Splits messages; returns the kept rows, the name of the policy, and the
     clustered rows. With a small test split, and the source at hand, one source
     moves from training to test."""

@@ -421,7 +421,7 @@ def split_exclusions(t):
 @_query
 def split_manifest(t):
     messages = _hashed(t)
-    kept, policy, clustered = split.prepare(messages)
+    kept, policy, clustered = split.prepare_clustered(messages)
     made = split.manifest(messages, kept, split.exclusions(clustered), policy, 17)
     return made.select("seed", "split_policy", *[F.to_json(c).alias(c) for c in ("source_counts", "split_counts", "excluded")])
 
