@@ -12,9 +12,11 @@ Word classes make the start, before any pass, and deal those units: words with a
 classes by their last bytes. At the start a word's share of its class is by its count.
 
 Training: exact counts of all training words (by hash range, each block asking
-for its distinct words); a start from a mixture fitted on a bounded sample of
-``SAMPLE`` training documents; then Baum-Welch passes over all training text,
-whose expected counts by word and state are summed by hash range. They travel as a
+for its distinct words); a start from a mixture of bags of words, fitted by
+``MIXTURE_PASSES`` passes over all training text (the first deals the documents
+to the parts by random directions around the corpus's mean, so no document is a
+seed); then Baum-Welch passes over all training text, whose expected counts by
+word and state are summed by hash range. They travel as a
 word's exact count and each state's share of it, a 16-bit float (3 digits).
 Passes and scoring run the scaled recursions over each whole text.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.llm.blocks import BLOCK_BYTES, ROW_BYTES, as_stream, deal, from_streams, with_given
-from corpusguard.llm.memory import releasing
+from corpusguard.llm.memory import release, releasing
 from corpusguard.llm.packed import first_of_runs, pack, range_bounds, unpack
 from corpusguard.llm.store import parts, remove, stored, text_bytes
 from corpusguard.llm.words import U64, Words, mix, slices
@@ -43,8 +45,10 @@ SUFFIX_BITS = 13
 SUFFIXES = 1 << SUFFIX_BITS
 #: The end of a text, as a key; its low bits are like any word's.
 END = U64(0xE4D0E4D0E4D0E000)
-#: Documents of the sample that the states start from.
-SAMPLE = 1500
+#: Passes over all training text of the mixture that the states start from. All but
+#: the last count by ``FOLD`` buckets of classes, the last by classes.
+MIXTURE_PASSES = 5
+FOLD = 2048
 PASSES = 2
 #: Tokens of whole texts that a pass holds at a time (a longer text is held alone).
 PIECE = 400_000
@@ -217,41 +221,14 @@ def _held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def _start(sample: list[str], frequent: np.ndarray, prior: np.ndarray, states: int) -> Model:
-    """States that begin as the parts of a mixture of the sample's documents."""
-    model = Model(frequent, np.repeat(prior[:, None], states, axis=1), np.full(states, 1 / states), np.full((states, states), 1 / states))
-    rng = np.random.default_rng(0)
-    docs = []
-    for w in slices(pa.array(sample, pa.large_string()), lower=True):
-        keys, first = _sequences(w, word_keys(w))
-        tokens = model.classes(keys)
-        docs += [np.unique(tokens[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
-    if docs:
-        where = np.concatenate([d[0] for d in docs])
-        count = np.concatenate([d[1] for d in docs]).astype(float)
-        owner = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
-        # Each part begins as one document, the next far from those before.
-        held = np.full(len(docs), np.inf)
-        size = np.bincount(owner, weights=count)
-        pick = int(np.argmax(np.minimum(size, np.median(size))))
-        parts_of = []
-        for _ in range(states):
-            own = prior * PRIOR + np.bincount(where[owner == pick], weights=count[owner == pick], minlength=len(prior))
-            parts_of.append(np.log(own / own.sum()))
-            fit = np.bincount(owner, weights=count * (parts_of[-1] - np.log(prior))[where], minlength=len(docs)) / size
-            held = np.minimum(held, -fit)
-            pick = int(np.argmax(np.where(size >= np.median(size), held + rng.random(len(docs)) * 1e-9, -np.inf)))
-        emit, weight = np.array(parts_of).T, np.full(states, 1 / states)
-        for _ in range(15):
-            fit = np.stack([np.bincount(owner, weights=count * emit[where, j], minlength=len(docs)) for j in range(states)], axis=1) + np.log(weight)
-            fit = np.exp(fit - fit.max(axis=1, keepdims=True))
-            fit /= fit.sum(axis=1, keepdims=True)
-            sums = np.stack([np.bincount(where, weights=count * fit[owner, j], minlength=len(prior)) for j in range(states)], axis=1) + prior[:, None] * PRIOR
-            emit, weight = np.log(sums / sums.sum(axis=0)), np.maximum(fit.mean(axis=0), 1e-3)
-            weight /= weight.sum()
-        model.emit, model.start = np.exp(emit), weight
-        model.move = np.full((states, states), 0.02 / states) + np.eye(states) * 0.98
-    return model
+def mixture_shares(level: np.ndarray, weight: np.ndarray, tokens: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Documents x parts: how much of each document, ``length`` consecutive ``tokens``,
+    is of each part. ``level``: log of a token's probability in a part, up to a
+    constant by token; ``weight``: log of the parts' shares. No document is empty."""
+    begin = np.cumsum(length) - length
+    fit = np.stack([np.add.reduceat(np.ascontiguousarray(x)[tokens], begin) for x in level.T], axis=1) + weight
+    fit = np.exp(fit - fit.max(axis=1, keepdims=True))
+    return fit / fit.sum(axis=1, keepdims=True)
 
 
 def hmm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: int = STATES, passes: int = PASSES, carry: list[str] | None = None) -> DataFrame:
@@ -270,8 +247,6 @@ def hmm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: in
     n_blocks, n_ranges = parts(size + ROW_BYTES * n_rows, BLOCK_BYTES), parts(size, RANGE_BYTES)
     given = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _held_out(modulus, remainder).alias("held_out"), given.alias("given"))
-    learned = F.col("doc_id").isNotNull() & ~F.col("held_out")
-    most = 4 * FREQUENT // n_ranges + 16
 
     def ask(key: tuple, streams: pa.Table) -> pa.Table:
         """The block's words for each range; and, as range -1, its rows without
@@ -288,10 +263,10 @@ def hmm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: in
         learn = ~np.asarray(table.column("held_out")) & ~np.asarray(table.column("doc_id").is_null())
         count = np.bincount(word[np.repeat(learn, length)], minlength=len(keys))
         at = range_bounds(keys, n_ranges)
-        out = [(r, key[0].as_py(), pack(keys[a:b]), pack(count[a:b]), None, None, None) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        out = [(r, key[0].as_py(), pack(keys[a:b]), pack(count[a:b]), None, None, None, None) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
         kept = table.drop_columns(["text"]).append_column("n", pa.array(length, pa.int64())).append_column("learn", pa.array(learn)).combine_chunks()
-        out.append((-1, key[0].as_py(), None, None, as_stream(kept), pack(keys), pack(word.astype(np.int32))))
-        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 5))], names=["range", "block", "keys", "counts", "data", "all_keys", "words"])
+        out.append((-1, key[0].as_py(), None, None, as_stream(kept), pack(keys), pack(word.astype(np.int32)), int(count.sum())))
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64()))], names=["range", "block", "keys", "counts", "data", "all_keys", "words", "learned"])
 
     def block_words(tokens: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
         """Rows, where each row's tokens begin, all distinct keys, and each token's."""
@@ -311,7 +286,7 @@ def hmm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: in
         blocks = table.column("block").to_pylist()
         answers = [pack(total[np.searchsorted(distinct, k)]) for k in keys]
         known = np.flatnonzero(total)
-        top = known[np.argsort(-total[known], kind="stable")[:most]]
+        top = known[total[known] * FREQUENT >= n_total]
         suffix = (distinct[known] & U64(SUFFIXES - 1)).astype(np.int64)
         tokens = np.bincount(suffix, weights=total[known], minlength=SUFFIXES).astype(np.int64)
         types = np.bincount(suffix, minlength=SUFFIXES).astype(np.int64)
@@ -326,7 +301,8 @@ def hmm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: in
         )
 
     blocks = deal(rows, n_blocks)
-    asked = stored(blocks.groupBy("block").applyInArrow(releasing(ask), "range int, block int, keys binary, counts binary, data binary, all_keys binary, words binary"), "words")
+    asked = stored(blocks.groupBy("block").applyInArrow(releasing(ask), "range int, block int, keys binary, counts binary, data binary, all_keys binary, words binary, learned long"), "words")
+    n_total = asked.agg(F.coalesce(F.sum("learned"), F.lit(0))).first()[0]
     dealt = asked.where("range = -1").select("block", "data", "all_keys", "words")
     asked = asked.where("range >= 0").select("range", "block", "keys", "counts")
     answers = stored(asked.groupBy("range").applyInArrow(releasing(count), "block int, range int, answer binary, more binary"), "counts")
@@ -344,14 +320,12 @@ def hmm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: in
     tokens, types = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
     for c, n, v in stats.groupBy("class").agg(F.sum("tokens"), F.sum("types")).collect():
         tokens[c], types[c] = n, v
-    n_total, n_types = int(tokens.sum()), int(types.sum())
+    n_types = int(types.sum())
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                key, c = unpack(a.as_py()), unpack(b.as_py(), np.int64)
-                often = c * FREQUENT >= n_total
-                yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(c[often])], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(a.as_py(), np.int64)), pa.array(unpack(b.as_py(), np.int64))], ["key", "n"])
 
     top = answers.where("block = -1").select("answer", "more").mapInArrow(listed, "key long, n long").collect()
     top_keys = np.array([r.key for r in top], dtype=np.int64).view(U64)
@@ -364,9 +338,65 @@ def hmm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: in
     weight = np.concatenate([often + 1, tokens + types + 1]).astype(float)
     prior = weight / weight.sum()
 
-    chosen = rows.where(learned & F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = [r.text for r in rows.where(learned).join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text").limit(SAMPLE).collect()]
-    model = _start(sample, frequent, prior, states)
+    def learned_words(table: pa.Table, first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the rows that are learned from, and their number by row."""
+        learn, n = np.asarray(table.column("learn")), np.diff(first)
+        return word[np.repeat(learn, n)], n[learn]
+
+    def as_rows(every: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(every.any(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(every[some, j]) for j in range(states))], ["row", *(f"s{j}" for j in range(states))])
+
+    def added_up(df: DataFrame, each, n: int) -> np.ndarray:
+        """The sum of the tables of ``n`` rows that ``each`` makes in the tasks."""
+        every = np.zeros((n, states))
+        tables = df.mapInArrow(each, "row int, " + ", ".join(f"s{j} double" for j in range(states)))
+        for r in tables.groupBy("row").agg(*[F.sum(f"s{j}") for j in range(states)]).collect():
+            every[r[0]] = r[1:]
+        return every
+
+    model = Model(frequent, np.repeat(prior[:, None], states, axis=1), np.full(states, 1 / states), np.full((states, states), 1 / states))
+    fold = np.arange(len(prior)) % FOLD
+    few = np.bincount(fold, weights=prior)
+
+    def mixing(level: np.ndarray, weight: np.ndarray, last: bool):
+        n_sums = len(prior) if last else FOLD
+
+        def mix_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Tokens by bucket (at last by class) and part, and in the last row documents by part."""
+            every = np.zeros((n_sums + 1, states))
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    table, first, keys, word = block_words(pa.Table.from_batches([batch.slice(i, 1)]))
+                    word, n = learned_words(table, first, word)
+                    if not len(n):
+                        continue
+                    tokens = model.classes(keys)[word]
+                    bucket = fold[tokens]
+                    of = mixture_shares(level, weight, bucket, n)
+                    where = tokens if last else bucket
+                    for j in range(states):
+                        every[:-1, j] += np.bincount(where, weights=np.repeat(of[:, j], n), minlength=n_sums)
+                    every[-1] += of.sum(axis=0)
+                    del table, first, keys, word, tokens, bucket, where
+                    release()
+            yield as_rows(every)
+
+        return mix_in, n_sums + 1
+
+    # Random directions with the corpus at their middle deal the documents evenly.
+    level, weight = np.random.default_rng(0).standard_normal((FOLD, states)), np.zeros(states)
+    level -= few @ level
+    for left in range(MIXTURE_PASSES if n_total else 0, 0, -1):
+        every = added_up(dealt, *mixing(level, weight, left == 1))
+        own = every[:-1] + (prior if left == 1 else few)[:, None] * PRIOR
+        own /= own.sum(axis=0)
+        part = np.maximum(every[-1] / every[-1].sum(), 1e-3)
+        part /= part.sum()
+        if left > 1:
+            level, weight = np.log(own / few[:, None]), np.log(part)
+        else:
+            model = Model(frequent, own, part, np.full((states, states), 0.02 / states) + np.eye(states) * 0.98)
 
     share = (tokens + types + 1).astype(float)
     n_frequent = len(frequent)
@@ -423,7 +453,7 @@ def hmm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: in
         for batch in batches:
             for x in batch.column(0):
                 every += np.frombuffer(x.as_py(), np.float32).reshape(every.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(every)), pa.int32()), *(pa.array(every[:, j]) for j in range(states))], ["row", *(f"s{j}" for j in range(states))])
+        yield as_rows(every)
 
     def expecting(now: Model):
         def expect(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -432,8 +462,8 @@ def hmm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: in
             Classes, moves and starts are a table of fixed size."""
             table, first, keys, word = block_words(left)
             count, emit = answered(now, keys, right)
-            learn, n = np.asarray(table.column("learn")), np.diff(first)
-            word, first = word[np.repeat(learn, n)], np.concatenate([[0], np.cumsum(n[learn])])
+            word, n = learned_words(table, first, word)
+            first = np.concatenate([[0], np.cumsum(n)])
             total, moves, starts = np.zeros_like(emit), np.zeros_like(now.move), np.zeros_like(now.start)
             text_counts(Model(now.frequent, emit, now.start, now.move), word, first, total, moves, starts)
             local = np.bincount(word, minlength=len(keys))
@@ -453,17 +483,14 @@ def hmm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, states: in
         done = answers
         answers = stored(counted.groupBy("range").applyInArrow(releasing(gather), "block int, range int, answer binary, more binary"), "expected")
         per_block = answers.where("block >= 0").select("block", "range", "answer", "more")
-        every = np.zeros((len(prior) + states + 1, states))
-        summed_up = answers.where("block = -1").select("more").mapInArrow(totals, "row int, " + ", ".join(f"s{j} double" for j in range(states)))
-        for r in summed_up.groupBy("row").agg(*[F.sum(f"s{j}") for j in range(states)]).collect():
-            every[r[0]] = r[1:]
+        every = added_up(answers.where("block = -1").select("more"), totals, len(prior) + states + 1)
         by_class = every[: len(prior)] + prior[:, None] * PRIOR
         dealt_as = by_class / by_class.sum(axis=1, keepdims=True)
         held = every[: len(prior)].sum(axis=0) + units @ dealt_as
         move, start = every[len(prior) : -1] + 0.01, every[-1] + 0.01
         # What the pass has read and shuffled goes before the next one writes as much.
         remove(spark, done.inputFiles()[0].rsplit("/", 1)[0])
-        del counted, done, summed_up
+        del counted, done
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         model = Model(frequent, dealt_as, start / start.sum(), move / move.sum(axis=1, keepdims=True), held)

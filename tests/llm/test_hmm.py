@@ -3,10 +3,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpusguard.llm.hmm as hmm
 from corpusguard.llm.hmm import RUN, Model, expected_counts, hmm_scores, log_likelihood, text_counts
+from corpusguard.llm.packed import ranges
+from corpusguard.llm.words import slices
 from tests.llm.fixtures import SCHEMA, rows, words
 
 
@@ -162,3 +166,42 @@ def test_rare_words_of_one_suffix_have_emissions_of_their_own(spark):
         module.FREQUENT = before
     apart = got[probes[0]].score - got[probes[1]].score
     assert apart - (got[probes[0]].base_score - got[probes[1]].base_score) > 0.5
+
+
+def test_states_start_from_all_training_text(spark):
+    """Two kinds of text that none of the 1500 training documents with the smallest
+    hashes has: the states tell them apart all the same."""
+    rng = np.random.default_rng(6)
+    ids = [r.id for r in spark.range(3000).orderBy(F.xxhash64("id"), "id").collect()]
+    first = set([d for d in ids if not held_out(d)][:1500])
+    kinds = [[f"{kind}{i}" for i in range(40)] for kind in ("common", "left", "right")]
+    kind_of = {d: 0 if d in first else 1 + d % 2 for d in ids}
+    data = [(d, " ".join(kinds[kind_of[d]][j] for j in rng.integers(0, 40, 30)), "en", "s", 1, 1, "x") for d in ids]
+    got = [r for r in hmm_scores(spark.createDataFrame(data, SCHEMA)).collect() if r.held_out]
+    assert len(got) > 300 and {kind_of[r.doc_id] for r in got} == {1, 2}
+    # A state that both kinds share loses log10(2) a token.
+    apart = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    shares = Counter(kind_of[d] for d in ids if not held_out(d))
+    assert apart > math.log10(sum(shares.values()) / max(shares[1], shares[2])) - 0.15
+
+
+def test_mixture_shares_against_brute_force():
+    rng = np.random.default_rng(7)
+    level, weight, length = np.log(rng.random((9, 3))), np.log(rng.random(3)), np.array([1, 4, 2])
+    tokens = rng.integers(0, 9, 7)
+    got = hmm.mixture_shares(level, weight, tokens, length)
+    for i, (a, n) in enumerate(zip(np.cumsum(length) - length, length, strict=True)):
+        p = np.array([math.exp(weight[j] + sum(level[t, j] for t in tokens[a : a + n])) for j in range(3)])
+        np.testing.assert_allclose(got[i], p / p.sum())
+
+
+def test_no_frequent_word_is_left_out(spark, monkeypatch):
+    """However many of them have their hashes in one range."""
+    many = [f"w{i}" for i in range(120_000)]
+    where = np.concatenate([ranges(hmm.word_keys(w), 64) for w in slices(pa.array([" ".join(many)], pa.large_string()))])
+    chosen = [many[i] for i in np.flatnonzero(where == 0)[:1500]]
+    assert len(chosen) == 1500 and not held_out(2)
+    seen = []
+    monkeypatch.setattr(hmm, "Model", lambda frequent, *rest: seen.append(len(frequent)) or Model(frequent, *rest))
+    hmm_scores(spark.createDataFrame([(2, " ".join(chosen), "en", "s", 1, 1, "x")], SCHEMA)).collect()
+    assert seen[0] == 1501  # and the end
